@@ -209,6 +209,8 @@ def _one_byte_spans(text, true, wrong, got, tables):
             # Two hanzi at least, mostly common ones, and no letters around: accents inside a word,
             # and words of another alphabet, are ordinary.
             near = text[max(0, s - 1) : s] + text[e : e + 1]
+            if text[s:e].isalpha() and text[s + 1 : e].islower():
+                continue
             if e - s < 4 or bad or odd(restored) > 0.2 or e - s < 6 and any(c.isalpha() and ord(c) < 0x2000 for c in near):
                 continue
         elif bad or not good:
