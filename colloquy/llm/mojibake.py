@@ -268,24 +268,26 @@ def restore(text: str | None, rounds: int = 3) -> tuple[str | None, bool]:
 
 
 def read_bytes(data: bytes | None) -> tuple[str | None, str]:
-    """(text, encoding) of raw data: its mark, else UTF-8, else UTF-16 by its zero bytes, else
-    GB18030; data with stray bytes is read in the encoding in which fewest are lost."""
+    """(text, encoding) of raw data: by its mark, else UTF-8 if it is valid, else the one of GB18030,
+    UTF-16 and Big5 that loses least and reads best; with stray bytes UTF-8 may still win."""
     if data is None:
         return None, "none"
     for mark, name in ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")):
         if data.startswith(mark):
             return data.decode(name, "replace"), name
-    for name in ("utf-8", "gb18030"):
-        try:
-            if name == "utf-8" or data.count(0) * 5 < len(data):
-                return data.decode(name), name
-        except UnicodeDecodeError:
-            pass
-    if data.count(0) * 5 >= len(data):
-        name = "utf-16-be" if sum(b == 0 for b in data[::2]) > sum(b == 0 for b in data[1::2]) else "utf-16-le"
-        return data.decode(name, "replace"), name
-    tried = [(data.decode(name, "replace"), name) for name in ("utf-8", "gb18030", "big5")]
-    return min(tried, key=lambda t: t[0].count("�") + 2 * sum(0xE000 <= ord(c) < 0xF900 for c in t[0]))
+    try:
+        return data.decode("utf-8"), "utf-8"
+    except UnicodeDecodeError:
+        pass
+    best = None
+    for name in ("utf-8", "gb18030", "utf-16-le", "utf-16-be", "big5"):
+        text = data.decode(name, "replace")
+        loss = text.count("\ufffd") / max(1, len(text)) * 4 + odd(text)
+        if name == "gb18030" and loss < 0.1:
+            return text, name
+        if best is None or loss < best[0]:
+            best = (loss, text, name)
+    return best[1], best[2]
 
 
 def records(messages: DataFrame, sources: DataFrame) -> DataFrame:
