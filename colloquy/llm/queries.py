@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import conversations, mojibake
+from . import conversations, encode, mixture, mojibake, neardup, personal
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,5 +28,55 @@ def p2_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.repair(mojibake.records(table(spark, d, "messages"), table(spark, d, "text_sources")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_states": p1_states, "p2_found": p2_found, "p2_restored": p2_restored}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    df = personal.texts(table(spark, d, "messages"), table(spark, d, "external_candidates"))
+    return personal.found(df, personal.fitted(df))
+
+
+def p5_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with typed placeholders."""
+    df = personal.texts(table(spark, d, "messages"), table(spark, d, "external_candidates"))
+    return personal.masked(df, personal.fitted(df))
+
+
+def _near(spark: SparkSession, d: str) -> neardup.NearDuplicates:
+    return neardup.NearDuplicates(table(spark, d, "external_candidates"), "external_candidate_id", F.col("final_question"), F.col("final_answer"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d).record_pairs()
+
+
+def p7_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row a record: its class of equal text and the links of the class."""
+    return _near(spark, d).classes()
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.ids(table(spark, d, "documents"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mixture and how often each is used."""
+    return mixture.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).documents
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mixture.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).report()
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_states": p1_states,
+    "p2_found": p2_found,
+    "p2_restored": p2_restored,
+    "p5_found": p5_found,
+    "p5_masked": p5_masked,
+    "p7_found": p7_found,
+    "p7_classes": p7_classes,
+    "p8_ids": p8_ids,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+}
 ORACLE: dict[str, str] = {}
