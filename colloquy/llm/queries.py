@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
-from . import conversations, encode, mixture, mojibake, neardup, personal
+from ..runtime import materialize, table
+from . import conversations, encode, mixture, mojibake, neardup, pairs, personal
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,6 +28,22 @@ def p2_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.repair(mojibake.records(table(spark, d, "messages"), table(spark, d, "text_sources")))
 
 
+def _voted(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "external_candidates").where("external_candidate_id is not null")
+    return materialize(pairs.label_votes(c.select(F.col("external_candidate_id").alias("id"), F.col("final_question").alias("question"), F.col("final_answer").alias("answer"))))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The first defect of each defective pair, in the order of ``pairs.DEFECTS``."""
+    return pairs.defects(_voted(spark, d)).select(F.col("id").alias("external_candidate_id"), F.col("defects")[0].alias("defect"))
+
+
+def p3_labels(spark: SparkSession, d: str) -> DataFrame:
+    """All defects of each defective pair with their posteriors."""
+    out = pairs.defects(_voted(spark, d))
+    return out.select(F.col("id").alias("external_candidate_id"), F.explode(F.arrays_zip("defects", "posteriors")).alias("x")).select("external_candidate_id", F.col("x.defects").alias("defect"), F.round("x.posteriors", 4).alias("posterior"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     df = personal.texts(table(spark, d, "messages"), table(spark, d, "external_candidates"))
     return personal.found(df, personal.fitted(df))
@@ -71,6 +87,8 @@ QUERIES = {
     "p1_states": p1_states,
     "p2_found": p2_found,
     "p2_restored": p2_restored,
+    "p3_found": p3_found,
+    "p3_labels": p3_labels,
     "p5_found": p5_found,
     "p5_masked": p5_masked,
     "p7_found": p7_found,
