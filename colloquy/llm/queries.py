@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import materialize, table
-from . import conversations, encode, mixture, mojibake, neardup, pairs, personal
+from . import conversations, encode, mixture, mojibake, neardup, pairs, personal, subjects
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -82,6 +82,26 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).report()
 
 
+def _areas(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _areas(spark, d).select("doc_id", "area_code")
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and sentences of the corpus by subject."""
+    return _areas(spark, d).groupBy("area_code").agg(F.count("*").alias("documents"), F.sum("sentences").alias("sentences"))
+
+
+def p10_topics(spark: SparkSession, d: str) -> DataFrame:
+    """The terms that stand out in each subject's topic, for inspection."""
+    documents = table(spark, d, "documents")
+    areas = [r[0] for r in table(spark, d, "subject_areas").select("area_code").distinct().orderBy("area_code").collect()]  # the fixed table of areas
+    return subjects.top_terms(documents, subjects.model(documents, table(spark, d, "subject_labels"), areas), areas)
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_states": p1_states,
@@ -96,5 +116,8 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_composition": p10_composition,
+    "p10_topics": p10_topics,
 }
 ORACLE: dict[str, str] = {}
