@@ -38,7 +38,7 @@ _CN_DIGITS = "零一二三四五六七八九幺〇两"
 _TO_DIGIT = str.maketrans(_CN_DIGITS, "0123456789102")
 _NARROW = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | {0x3000: 32, 0xA0: 32}
 
-EMAIL = re.compile(r"[A-Za-z0-9](?:[\w.+-]*[A-Za-z0-9_])?(?: ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?:(?: ?\. ?| dot |\(dot\))[A-Za-z0-9-]+)+| at [A-Za-z0-9-]+(?:(?:\.| dot |\(dot\))[A-Za-z][A-Za-z0-9-]+)+)", re.ASCII)
+EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]{0,62}[A-Za-z0-9_])?(?: ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?:(?: ?\. ?| dot |\(dot\))[A-Za-z0-9-]{1,63}){1,6}| at [A-Za-z0-9-]{1,63}(?:(?:\.| dot |\(dot\))[A-Za-z][A-Za-z0-9-]{1,62}){1,6})", re.ASCII)
 #: Words that lead up to an address and are no part of it.
 ADDRESS_LEAD = re.compile(r"^.*?(?:改送到?|收货在|我住在?|家住|家在|寄到|地址(?:是|：|:)?|住在|送到|发到)")
 NUMBER = re.compile(rf"(?<![A-Za-z0-9])(?:\+ ?\d|\(\d|\d)(?:[ ().\-/]{{0,2}}\d){{5,22}}[Xx]?(?![A-Za-z0-9])|[{_CN_DIGITS}]{{7,20}}", re.ASCII)
@@ -46,7 +46,7 @@ ALNUM = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]{1,2}\d{6,9}|[A-Z]\d{2}[A-Z]\d{4}[A
 ADDRESS_ZH = re.compile(rf"[{_HAN}]{{1,14}}(?:(?<=[路街巷道弄里])\d+[号弄]|(?<=[园苑区坊庄府城湾邸邨寓])\d+[幢栋座号]|(?<=[村组屯])\d+[组号队])(?:\d+[号栋幢座单元室楼层组弄]{{1,2}})*\d*", re.ASCII)
 ADDRESS_EN = re.compile(
     r"(?:(?:Flat|Unit|Apt|Suite|Room|No)\.? ?\d+[A-Za-z]?[,/] ?)?(?<![\w-])\d{1,5}[A-Za-z]?(?:/\d+)? (?:[A-Z][a-z'-]+ ){1,3}(?:Street|St|Lane|Ln|Road|Rd|Row|Avenue|Ave|Close|Drive|Dr|Court|Ct|Way|Terrace|Place|Pl|Crescent|Square|Sq|Hill|Walk|Boulevard|Blvd|Parade)\b(?:\.? ?(?:Apt|Unit|Flat|Suite|#)\.? ?\d+\w?)?"
-    r"|\b[A-ZÄÖÜ][\wäöüß-]+(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|ring|damm)\.? ?\d+[a-z]?\b"
+    r"|\b[A-ZÄÖÜ][\wäöüß-]{1,40}(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|ring|damm)\.? ?\d+[a-z]?\b"
     r"|\b(?:P\.? ?O\.? Box) \d+"
 )
 _ZH_NAME = rf"(?:(?:{COMPOUND})[{_HAN}]{{1,2}}|[{SURNAMES}][{_HAN}]{{1,2}}?)"
