@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import data_queries
+from . import core_queries, data_queries
 
-QUERIES = {**data_queries.QUERIES}
-ORACLE = {**data_queries.ORACLE}
-FLAGSHIP = "p6_found"
+QUERIES = {**core_queries.QUERIES, **data_queries.QUERIES}
+ORACLE = {**core_queries.ORACLE, **data_queries.ORACLE}
+FLAGSHIP = "qa_pairs"
