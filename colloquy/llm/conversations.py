@@ -59,18 +59,33 @@ def sequence(messages: DataFrame, stores: DataFrame) -> DataFrame:
     messages of customers and services with a visible character.
     """
     ensure_checkpoint_dir(messages.sparkSession)
-    m = messages.where(F.coalesce(strip("session_id"), F.lit("")) != "").select(
-        "session_id", "input_order", "message_id", "sender", role(F.col("sender_type")).alias("role"), F.coalesce(F.col("message_content").rlike(VISIBLE), F.lit(False)).alias("visible"), "message_time", "external_store_id"
+    sources = timestamps.store_sources(stores)
+    named = messages.where(F.coalesce(strip("session_id"), F.lit("")) != "")
+    code = F.when(role(F.col("sender_type")) == "customer", 0).when(role(F.col("sender_type")) == "service", 1).when(role(F.col("sender_type")) == "system", 2)
+    m = named.select(
+        "session_id",
+        "input_order",
+        "message_id",
+        # Senders are only compared within a session, so a 64-bit hash does.
+        F.when(F.col("sender").isNotNull(), F.xxhash64("sender")).alias("sender"),
+        code.alias("role"),
+        F.coalesce(F.col("message_content").rlike(VISIBLE), F.lit(False)).alias("visible"),
+        F.col("message_time").alias("text"),
+        F.col("external_store_id").alias("source_id"),
     )
-    row = F.struct("message_id", "sender", "role", "visible", "message_time", "external_store_id")
-    m = m.groupBy("session_id", "input_order").agg(F.min_by(row, F.col("message_id")).alias("m")).select("session_id", "input_order", "m.*")
+    # Times are read in the scan, before the first shuffle; from here on all columns but the session
+    # have a fixed width, so that the aggregates hash in place.
+    orders = timestamps.source_orders(m.select("source_id", "text"), sources)
+    m = timestamps.to_instants(m, sources, orders=orders).select("session_id", "input_order", "message_id", "sender", "role", "visible", "epoch_ms")
+    first = lambda c: F.min_by(c, "message_id").alias(c)
+    m = m.groupBy("session_id", "input_order").agg(first("sender"), first("role"), first("visible"), first("epoch_ms"), F.min("message_id").alias("message_id"))
     told = m.where("role is not null and sender is not null").groupBy("session_id", "sender").agg(F.min("role").alias("lo"), F.max("role").alias("hi")).where("lo = hi").select("session_id", "sender", F.col("lo").alias("told"))
     # Only the few rows that need it take part in the join.
-    open_ = m.where("role is null").join(told, ["session_id", "sender"], "left").withColumn("role", F.col("told")).drop("told")
-    m = m.where("role is not null").unionByName(open_)
-    timed = timestamps.to_instants(m.withColumnRenamed("external_store_id", "source_id").withColumnRenamed("message_time", "text"), timestamps.store_sources(stores))
-    kept = F.coalesce(F.col("role").isin("customer", "service"), F.lit(False)) & F.col("visible")
-    rows = timed.select("session_id", "message_id", "input_order", F.col("role").alias("speaker"), kept.alias("kept"), F.col("role").isNull().alias("unknown"), "epoch_ms")
+    columns = ["session_id", "input_order", "message_id", "role", "visible", "epoch_ms"]
+    open_ = m.where("role is null").join(told, ["session_id", "sender"], "left").withColumn("role", F.col("told")).select(*columns)
+    m = m.where("role is not null").select(*columns).unionByName(open_)
+    kept = F.coalesce(F.col("role") < 2, F.lit(False)) & F.col("visible")
+    rows = m.select("session_id", "message_id", "input_order", F.when(F.col("role") == 0, "customer").when(F.col("role") == 1, "service").when(F.col("role") == 2, "system").alias("speaker"), kept.alias("kept"), F.col("role").isNull().alias("unknown"), "epoch_ms")
     order = ["session_id", F.col("kept").desc(), F.col("epoch_ms").asc_nulls_last(), F.col("input_order").asc_nulls_last(), "message_id"]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("epoch_ms").withColumn("_id", F.monotonically_increasing_id())
     # The place of a row is only known once the partitions stand still: written to the shared folder.
