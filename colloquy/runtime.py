@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +28,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder (survives lost executors)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage with a table written to the shared checkpoint folder, and read it back.
+
+    The table survives lost executors, is columnar and compressed, and later stages read only the
+    columns they need.  It is removed when the driver's JVM ends.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    sc = spark.sparkContext
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/tables/{uuid.uuid4().hex}"
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
