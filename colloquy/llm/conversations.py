@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import timestamps
 from ..operators.nested import strip
-from ..runtime import ensure_checkpoint_dir, materialize
+from ..runtime import materialize
 
 # Spellings of the roles, in lower case.
 CUSTOMER = "customer buyer client user consumer shopper guest visitor 客户 顾客 买家 用户 消费者 访客 会员 kunde kundin käufer käuferin 顧客 客戶 買家 cliente acheteur".split()
@@ -58,7 +58,6 @@ def sequence(messages: DataFrame, stores: DataFrame) -> DataFrame:
     same sender's other messages in the session if they agree; a null sender has none.  Kept are
     messages of customers and services with a visible character.
     """
-    ensure_checkpoint_dir(messages.sparkSession)
     sources = timestamps.store_sources(stores)
     named = messages.where(F.coalesce(strip("session_id"), F.lit("")) != "")
     code = F.when(role(F.col("sender_type")) == "customer", 0).when(role(F.col("sender_type")) == "service", 1).when(role(F.col("sender_type")) == "system", 2)
@@ -79,6 +78,8 @@ def sequence(messages: DataFrame, stores: DataFrame) -> DataFrame:
     m = timestamps.to_instants(m, sources, orders=orders).select("session_id", "input_order", "message_id", "sender", "role", "visible", "epoch_ms")
     first = lambda c: F.min_by(c, "message_id").alias(c)
     m = m.groupBy("session_id", "input_order").agg(first("sender"), first("role"), first("visible"), first("epoch_ms"), F.min("message_id").alias("message_id"))
+    # Read three times below: by the roles, and by the sampling and the sorting of the ranges.
+    m = materialize(m)
     told = m.where("role is not null and sender is not null").groupBy("session_id", "sender").agg(F.min("role").alias("lo"), F.max("role").alias("hi")).where("lo = hi").select("session_id", "sender", F.col("lo").alias("told"))
     # Only the few rows that need it take part in the join.
     columns = ["session_id", "input_order", "message_id", "role", "visible", "epoch_ms"]
