@@ -70,16 +70,33 @@ def sentences(text: str | None) -> list[str]:
     return [s for s in SPLIT.split(INVISIBLE.sub("", text)) if s and s.strip()]
 
 
+class Known:
+    """Buckets of terms and of sentences seen by a worker, of bounded size."""
+
+    def __init__(self):
+        self.terms: dict[str, int] = {}
+        self.sentences: dict[str, list[int]] = {}
+
+
 class Batch:
     """Term buckets of the sentences of a batch of documents, flat."""
 
-    def __init__(self, texts: list[str | None], known: dict[str, int]):
+    def __init__(self, texts: list[str | None], known: Known):
         flat: list[int] = []
         starts: list[int] = []
         owner: list[int] = []
+        kept = known.sentences
         for d, text in enumerate(texts):
             for s in sentences(text):
-                ids = [_bucket(t, known) for t in terms(CODE.sub(" ", s))]
+                # Sentences repeat but for their numbers, so their buckets are kept, too.
+                s = CODE.sub(" ", s)
+                ids = kept.get(s)
+                if ids is None:
+                    ids = [_bucket(t, known.terms) for t in terms(s)]
+                    if len(s) <= 80:
+                        if len(kept) >= 100_000:
+                            kept.clear()
+                        kept[s] = ids
                 if len(ids) >= 2:
                     starts.append(len(flat))
                     owner.append(d)
@@ -124,8 +141,7 @@ def seed(texts: list[str], labels: list[list[int]], areas: int, rounds: int = 6)
     """(BUCKETS, topics) sums of the labelled documents, each restricted to its subjects and the
     background; the background starts as the corpus, a little different for each topic."""
     k = areas + BACKGROUND
-    known: dict[str, int] = {}
-    batch = Batch(texts, known)
+    batch = Batch(texts, Known())
     allowed = np.zeros((len(texts), k), dtype=bool)
     allowed[:, areas:] = True
     for d, own in enumerate(labels):
@@ -148,7 +164,7 @@ def seed(texts: list[str], labels: list[list[int]], areas: int, rounds: int = 6)
 
 def _pass(log_beta: np.ndarray):
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
+        known = Known()
         total = np.zeros_like(log_beta)
         for pdf in batches:
             for at in range(0, len(pdf), 2000):
@@ -186,14 +202,14 @@ def assign(documents: DataFrame, counts: np.ndarray, areas: list[str], least: in
     n = len(areas)
 
     def work(batches):
-        known: dict[str, int] = {}
+        known = Known()
         for pdf in batches:
             for at in range(0, len(pdf), 2000):
                 part = pdf.iloc[at : at + 2000]
                 b = Batch(list(part["text"]), known)
                 got = tally(b, log_beta, n)
                 d, a = np.nonzero(got >= least)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[d], "area_code": [areas[i] for i in a], "sentences": got[d, a].astype(np.int32)})
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[d], "area_code": pd.Series([areas[i] for i in a], dtype=object), "sentences": got[d, a].astype(np.int32)})
 
     return documents.where("text is not null and text <> ''").select("doc_id", "text").mapInPandas(work, "doc_id long, area_code string, sentences int")
 
@@ -221,7 +237,7 @@ def top_terms(documents: DataFrame, counts: np.ndarray, areas: list[str], most:
                 for s in sentences(text):
                     for t in terms(CODE.sub(" ", s)):
                         seen[t] = seen.get(t, 0) + 1
-            yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
+            yield pd.DataFrame({"term": pd.Series(list(seen), dtype=object), "n": pd.Series(list(seen.values()), dtype="int64")})
 
     words = documents.where("text is not null").select("text").mapInPandas(work, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
