@@ -72,6 +72,8 @@ SCRIPTS = [
     ("ja", re.compile(r"[぀-ヿ]")), ("ko", re.compile(r"[가-힯]")), ("ru", re.compile(r"[Ѐ-ӿ]")), ("el", re.compile(r"[Ͱ-Ͽ]")),
     ("ar", re.compile(r"[؀-ۿ]")), ("th", re.compile(r"[฀-๿]")), ("hi", re.compile(r"[ऀ-ॿ]")), ("he", re.compile(r"[֐-׿]")), ("zh", re.compile(r"[一-鿿]")),
 ]
+HAN = re.compile(r"[一-鿿]")
+RARE_SCRIPT = re.compile(r"[Ͱ-ӿ֐-ۿऀ-ॿ฀-๿぀-ヿ가-힯]")
 LATIN_WORD = re.compile(r"[A-Za-zÀ-ɏẠ-ỹ']+")
 SPLIT = re.compile(r"[。！？!?；;\n~～]+|\.(?=\s|$)|(?<=[^\d])\.(?=\D)")
 CLAUSE = re.compile(r"[。！？!?；;\n~～，,]+|\.(?=\s|$)")
@@ -92,6 +94,8 @@ RARE, SEEN = 0.08, 4
 
 def language(text: str) -> tuple[str | None, str | None, float]:
     """(language, script, share of stop words): by script, for Latin letters by stop words."""
+    if HAN.search(text) and not RARE_SCRIPT.search(text) and len(HAN.findall(text)) * 2 > len(text):
+        return "zh", "zh", 1.0
     n = {name: len(p.findall(text)) for name, p in SCRIPTS}
     words = [w.lower() for w in LATIN_WORD.findall(text)]
     if n["ja"] >= 2 and n["ja"] * 4 >= n["zh"]:
@@ -237,7 +241,7 @@ def ending_statistics(answers: DataFrame) -> DataFrame:
         for pdf in batches:
             last, inner = endings(pdf["answer"])
             keys = list(last.keys() | inner.keys())
-            yield pd.DataFrame({"tail": keys, "ends": [last.get(k, 0) for k in keys], "inside": [inner.get(k, 0) for k in keys]})
+            yield pd.DataFrame({"tail": pd.Series(keys, dtype=object), "ends": pd.Series([last.get(k, 0) for k in keys], dtype="int64"), "inside": pd.Series([inner.get(k, 0) for k in keys], dtype="int64")})
 
     return answers.mapInPandas(work, "tail string, ends long, inside long").groupBy("tail").agg(F.sum("ends").alias("ends"), F.sum("inside").alias("inside"))
 
