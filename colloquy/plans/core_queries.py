@@ -527,3 +527,28 @@ def event_windows(spark, d):
 def event_sessions(spark, d):
     w = sessions.session_windows(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id")
     return w.select("user_id", F.unix_seconds("start").alias("start_s"), "n")
+
+
+@query()
+def measured_values(spark, d):
+    from ..functions.measures import measured
+
+    c = table(spark, d, "external_candidates").select("external_candidate_id", F.inline(measured("final_answer")))
+    return c.select("external_candidate_id", "kind", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "unit")
+
+
+@query()
+def answer_claims(spark, d):
+    from ..operators.claims import drop_claims
+
+    c = table(spark, d, "external_candidates").select("external_candidate_id", "final_answer")
+    families = {"promise": "保证|一定|肯定|绝对|guarantee", "refund": "已经退款|退款成功|refund (?:is|was) (?:done|sent)", "time": r"\d+小时内|\d+天内|within \d+ (?:hours|days)"}
+    out = drop_claims(c, "final_answer", families, ["不", "无法", "大约", "预计", "around", "about"], "")
+    return out.select("external_candidate_id", "answer", F.array_join("blocked", "|").alias("blocked")).where("blocked <> ''")
+
+
+@query()
+def tidy_answers(spark, d):
+    from ..operators.claims import tidy_answer
+
+    return table(spark, d, "external_candidates").select("external_candidate_id", tidy_answer(F.col("final_answer"), ["亲", "亲亲", "您好", "在的亲", "感谢咨询", "感谢理解"]).alias("answer"))
