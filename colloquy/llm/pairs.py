@@ -43,11 +43,18 @@ REFUSAL = re.compile(
     r"|(?:kann|können|darf|dürfen|möchte).{0,40}(?:nicht|keine|leider).{0,30}(?:beantworten|helfen|auskunft|äußern|antworten|sagen|geben|weiterhelfen|kommentieren|mitteilen)|leider.{0,40}(?:nicht helfen|keine auskunft)|außerhalb",
     re.I,
 )
+CONNECTIVE = re.compile(
+    r"(?:因为|所以|但是|而且|以及|并且|或者|另外还要|比如|例如|包括|由于|虽然|其中|以便|为了|分别是|步骤如下|如下)$"
+    r"|[\s,](?:because|because the|so if you|if you|as well as|such as|as follows|for example|in order to|and the|or the|weil|sodass|damit|sowie|zum beispiel|und zwar|wie folgt)$",
+    re.I,
+)
 DANGLING = re.compile(
-    r"(?:因为|所以|但是|但|如果|而且|以及|并且|或者|另外还要|另外|还有|比如|例如|包括|由于|虽然|不过|同时|然后|首先|其中|建议您?先?|需要|可以先|以便|为了|分别是|步骤如下|如下|的话就?)$"
-    r"|(?:^|\s)(?:and|or|but|because|so|if|so if you|if you|the|a|an|of|to|with|for|in|on|at|by|from|as|such as|which|when|while|we|you|your|our|is|are|will|can|und|oder|aber|weil|dass|wenn|damit|der|die|das|ein|eine|mit|für|von|zu|in|an|auf|bei|sowie|bitte|ist|sind)$",
+    r"(?:但|如果|另外|还有|不过|同时|然后|首先|建议您?先?|需要|可以先|的话就?)$"
+    r"|(?:^|\s)(?:and|or|but|so|if|the|a|an|of|to|with|for|in|on|at|by|from|as|which|when|while|we|you|your|our|is|are|will|can|und|oder|aber|dass|wenn|der|die|das|ein|eine|mit|für|von|zu|in|an|auf|bei|ist|sind)$",
     re.I,
 )
+#: What is left of a word or a code that was cut off right after it began.
+STUB = re.compile(r"(?:(?:^|\s|[一-鿿])[A-Z]|(?<=[。！？；!?;])[^\W\d_呢哦哈啊呀嘛亲]{1,3}|(?<=\w\. )[A-Za-z]{1,2})$")
 OPEN_MARK = re.compile(r"(?:[:：、，,（(【《“「\-—]|\d+[、)）])\s*$")
 ELLIPSIS = re.compile(r"(?:…|\.{3,}|。{3,})\s*$")
 STOP = {
@@ -84,7 +91,7 @@ FUNCTIONS = {
     "copied_question": (("equal", 0.7, 0.0005), ("contained", 0.95, 0.003), ("covers", 0.9, 0.01)),
     "refusal": (("phrase", 0.95, 0.01), ("nothing_else", 0.9, 0.01), ("short", 0.95, 0.05)),
     "other_language": (("script", 0.5, 0.001), ("words", 0.6, 0.003), ("language", 0.97, 0.004)),
-    "truncated_answer": (("ellipsis", 0.25, 0.003), ("open_mark", 0.2, 0.003), ("dangling", 0.3, 0.01), ("rare_end", 0.85, 0.02), ("no_stop", 0.95, 0.3)),
+    "truncated_answer": (("ellipsis", 0.2, 0.0003), ("open_mark", 0.2, 0.0003), ("dangling", 0.2, 0.003), ("rare_end", 0.8, 0.003), ("no_stop", 0.95, 0.3), ("connective", 0.2, 0.00005), ("stub", 0.08, 0.0001)),
 }
 CUTOFF = {"empty_answer": 0.5, "copied_question": 0.5, "refusal": 0.5, "other_language": 0.5, "truncated_answer": 0.5}
 #: Length of the tail looked up, in characters: with Chinese ones at the end, and else.
@@ -206,15 +213,18 @@ def votes(question: str | None, answer: str | None) -> dict[str, int]:
         | (OPEN_MARK.search(t) is not None) << 1
         | (DANGLING.search(bareend) is not None) << 2
         | (re.search(r"[。.!！?？~～;；]\W*$", a) is None or ELLIPSIS.search(t) is not None) << 4
+        | (CONNECTIVE.search(bareend) is not None) << 5
+        | (STUB.search(bareend) is not None) << 6
     ) if letters and not none else 0
     return {k: int(v) for k, v in out.items()}
 
 
-def fit(patterns: dict[int, int], first: tuple, rounds: int = 40, strength: float = 0.02) -> tuple[dict[int, float], list]:
+def fit(patterns: dict[int, int], first: tuple, rounds: int = 40, strength: float = 0.02, sound: float = 1.0) -> tuple[dict[int, float], list]:
     """EM of one defect: (posterior of each vote pattern, [(P(vote | defect), P(vote | sound))]).
 
-    patterns: counts by the bits of the votes.  The first guesses weigh as ``strength`` of all rows,
-    so that a function stays what it was written for.
+    patterns: counts by the bits of the votes.  The first guesses weigh as ``strength`` of all rows
+    for the defective and as ``sound`` of them for the sound pairs, so that a function stays what it
+    was written for.
     """
     keys = np.array(sorted(patterns), dtype=np.int64)
     n = np.array([patterns[k] for k in keys], dtype=float)
@@ -230,7 +240,7 @@ def fit(patterns: dict[int, int], first: tuple, rounds: int = 40, strength: floa
         y, z = n * post, n * (1 - post)
         share = float(np.clip((y.sum() + 1) / (n.sum() + 50), 1e-4, 0.3))
         yes = np.clip((v.T @ y + weight * yes0) / (y.sum() + weight), 1e-4, 0.999)
-        no = np.clip((v.T @ z + weight * no0) / (z.sum() + weight), 1e-5, 0.9)
+        no = np.clip((v.T @ z + sound * n.sum() * no0) / (z.sum() + sound * n.sum()), 1e-5, 0.9)
     return dict(zip(keys.tolist(), post.tolist())), list(zip(yes.tolist(), no.tolist()))
 
 
@@ -268,7 +278,7 @@ def label_votes(pairs: DataFrame) -> DataFrame:
 
 
 def posteriors(voted: DataFrame) -> dict[str, dict[int, float]]:
-    """Posterior of each vote pattern of each defect; the counts are at most 32 rows a defect."""
+    """Posterior of each vote pattern of each defect; the counts are at most 128 rows a defect."""
     cell = [F.struct(F.lit(d).alias("defect"), F.col(d).alias("bits")) for d in DEFECTS]
     rows = voted.select(F.inline(F.array(*cell))).groupBy("defect", "bits").agg(F.count("*").alias("n")).collect()
     out = {}
