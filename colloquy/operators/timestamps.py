@@ -85,7 +85,11 @@ def to_instants(values: DataFrame, sources: DataFrame, cutoff: float = CUTOFF, o
     epoch_ms is null for the first three.  Local times in a gap are read with the offset before it,
     those in an overlap as the earlier one.  Empty tables give empty results.
     """
-    keep = [F.col(f"`{c}`") for c in values.columns]
+    # Other columns ride along in one struct, so that no name of theirs can clash.
+    other = [c for c in values.columns if c not in ("source_id", "text", "epoch_ms", "time_status", "day_first_posterior")]
+    order = [c for c in values.columns if c in other or c in ("source_id", "text")]
+    keep = [F.col(c) if c in ("source_id", "text") else F.col("_other").getField(c).alias(c) for c in order]
+    values = values.select("source_id", "text", *([F.struct(*[F.col(f"`{c}`") for c in other]).alias("_other")] if other else []))
     orders = source_orders(values.select("source_id", "text"), sources) if orders is None else orders
     known = sources.select(F.col("source_id").alias("_sid"), F.col("zone_id").alias("_zone_id"), F.col("declared").alias("_declared"))
     fitted = orders.select(F.col("source_id").alias("_oid"), F.col("day_first").alias("_day_first"), F.col("months").alias("_months"))

@@ -143,3 +143,12 @@ def test_em_weights():
     assert w > 0.9 and months[2] == max(months)
     assert timestamps.fit_order([], None) == (0.5, [1 / 12] * 12)
     assert timestamps.fit_order([(13, 3, 20)], 0.0)[0] == 0.0
+
+
+def test_other_columns_may_have_any_name(spark):
+    rows = [("a", "2026-01-01 00:00:00", 1, "x", 5, "z")]
+    values = spark.createDataFrame(rows, "source_id string, text string, _s int, _zone_id string, epoch_ms int, `a.b` string")
+    sources = spark.createDataFrame([("a", "UTC", None)], "source_id string, zone_id string, declared string")
+    got = timestamps.to_instants(values, sources)
+    assert got.columns == ["source_id", "text", "_s", "_zone_id", "a.b", "epoch_ms", "time_status", "day_first_posterior"]
+    assert tuple(got.first())[:6] == ("a", "2026-01-01 00:00:00", 1, "x", "z", 1767225600000)
