@@ -3,7 +3,8 @@
 Method: hash-threshold histograms.  Every document has a hash; tokens are summed by source and hash
 bucket, the bucket in which a source's budget ends is found on the sums, and only that bucket is
 refined by the next bits of the hash, until it holds one document.  A document is taken if its hash
-is below its source's threshold: a filter, no sort.  The sums are at most sources x 4096 rows.
+is below its source's threshold (or in a further range, if a document too long for the rest had to
+be passed over): a filter, no sort.  The sums are at most sources x 4096 rows.
 
 The size of the mixture is the largest at which every source with documents reaches its share within
 its ``max_repeats``, unless a size in tokens is given.  A target without documents can't be reached;
@@ -20,6 +21,8 @@ from ..runtime import materialize
 from . import encode
 
 BITS = 12
+#: Ranges of hashes a source may have, and the share of its budget that may be left over.
+RANGES, NEAR = 8, 0.001
 
 
 class Mixture:
@@ -39,26 +42,38 @@ class Mixture:
         self.plan = []
         for s, r in rows.items():
             want = min(self.size * r["share"] / shares, r["most"] * total[s]) if s in there else 0.0
-            copies = int(want // total[s]) if s in there else 0
-            self.plan.append({"source": s, "target_share": r["share"], "max_repeats": r["most"], "available": total.get(s, 0), "want": want, "whole": copies, "rest": want - copies * total[s] if s in there else 0.0})
+            copies = int(want / total[s] + 1e-9) if s in there else 0
+            self.plan.append({"source": s, "target_share": r["share"], "max_repeats": r["most"], "available": total.get(s, 0), "want": want, "whole": copies, "rest": max(0.0, want - copies * total[s]) if s in there else 0.0})
         for p in self.plan:
-            p["below"] = 0
+            p["ranges"] = []
         self._thresholds()
         spark = documents.sparkSession
-        plan = spark.createDataFrame([(p["source"], p["whole"], p["below"]) for p in self.plan] or [("", 0, 0)], "source string, whole int, below long")
-        extra = F.when(F.col("h") < F.col("below"), 1).otherwise(0)
+        plan = spark.createDataFrame([(p["source"], p["whole"], p["ranges"]) for p in self.plan] or [("", 0, [])], "source string, whole int, ranges array<struct<low:long,high:long>>")
+        extra = F.exists("ranges", lambda r: (F.col("h") >= r["low"]) & (F.col("h") < r["high"])).cast("int")
         self.documents = self.tokens.join(F.broadcast(plan), "source").withColumn("copies", F.col("whole") + extra).where("copies > 0").select("doc_id", "source", "n_tokens", "copies")
 
     def _thresholds(self) -> None:
+        """Ranges of hashes for the rest of each budget.  A document too long for what is left is
+        passed over and a next range begins after it, until the rest is small."""
+        state = {p["source"]: {"plan": p, "start": 0, "left": p["rest"]} for p in self.plan if p["rest"] >= 1}
+        for turn in range(RANGES):
+            open_ = {s: e for s, e in state.items() if e["left"] > max(1.0, NEAR * e["plan"]["want"]) and e["start"] is not None}
+            if not open_:
+                break
+            self._range(open_, turn == RANGES - 1)
+
+    def _range(self, state: dict, last: bool) -> None:
         """Nested: each level sums the boundary bucket of every source by the next 12 bits."""
-        edge = {p["source"]: {"plan": p, "prefix": 0, "left": p["rest"]} for p in self.plan if p["rest"] >= 1}
+        edge = dict(state)
+        for e in edge.values():
+            e["prefix"], e["end"] = 0, e["start"]
         for level in range(1, 6):
             if not edge:
                 break
             shift, above = 60 - BITS * level, 60 - BITS * (level - 1)
             inside = None
             for s, e in edge.items():
-                c = (F.col("source") == s) & (F.shiftright("h", above) == e["prefix"])
+                c = (F.col("source") == s) & (F.shiftright("h", above) == e["prefix"]) & (F.col("h") >= e["start"])
                 inside = c if inside is None else inside | c
             sums = self.tokens.where(inside).groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).collect()
             by: dict[str, list] = {}
@@ -69,17 +84,24 @@ class Mixture:
                 for bucket, tokens, n in sorted(by.get(s, [])):
                     if tokens <= e["left"]:
                         e["left"] -= tokens
-                        e["plan"]["below"] = (bucket + 1) << shift
+                        e["end"] = (bucket + 1) << shift
                         continue
                     e["prefix"] = bucket
                     if n == 1 or level == 5:
-                        # One document is left: it is taken if that comes nearer.
-                        if tokens - e["left"] < e["left"]:
-                            e["plan"]["below"] = (bucket + 1) << shift
+                        # One document is left: passed over, or taken at last if that comes nearer.
+                        e["next"] = (bucket + 1) << shift
+                        if last and tokens - e["left"] < e["left"]:
+                            e["end"] = e["next"]
+                            e["left"] = 0
                         del edge[s]
                     break
                 else:
+                    e["next"] = None  # all of the source is taken or passed over
                     del edge[s]
+        for e in state.values():
+            if e["end"] > e["start"]:
+                e["plan"]["ranges"].append((e["start"], e["end"]))
+            e["start"] = e.get("next")
 
     def report(self) -> DataFrame:
         """(source, target_share, max_repeats, documents, tokens, actual_share, most_copies, reached);
