@@ -92,6 +92,46 @@ def test_incremental(spark):
     assert got == {("a", rows[0][2]): (last, "earlier_question_contained_in_later"), ("a", rows[1][2]): (last, "earlier_question_contained_in_later")}
 
 
+def test_incremental_large_sessions(spark):
+    """Joins find what the comparison of all pairs does, in sessions with a hot question and without."""
+    r, rows = random.Random(7), []
+    words = ["鞋子", "什么时候", "发货", "运费", "谁出", "尺码", "偏大", "吗", "呢亲", "请问", "，", "。", "a", "b1", "退货"]
+    for i in range(700):
+        q = "".join(r.choices(words, k=r.randint(1, 9)))
+        if i > 20 and r.random() < 0.4:
+            q = list(rows[r.randrange(len(rows))][2])
+            for _ in range(r.randint(0, 2)):
+                q.insert(r.randint(0, len(q)), r.choice("鞋呢，x"))
+            q = "".join(q)
+        answer = r.choice(["好", "今天下午就会发出的亲", "今天下午就会发出的亲亲", "卖家来出运费不用担心"])
+        rows.append((r.choice(["hot", "hot", "b", None]), i, r.choice([q, q, q, "发货吗"]), answer, r.choice(["物流发货", "其他"]), r.choice([1, 2])))
+    df = spark.createDataFrame(rows, "session string, n int, merged_question string, answer string, category string, context_message_count int")
+    run = lambda most, s: sorted(map(str, dedup.incremental(df, "session", ["n"], rules.BUSINESS_WORDS, rules.CATEGORIES, [], same_question=s, most=most).collect()))
+    for s in (0.9, 0.6):
+        want = run(5000, s)
+        assert len(want) > 100 and run(200, s) == want
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("abcdefg", min_size=1, max_size=30), st.lists(st.tuples(st.integers(0, 40), st.sampled_from("abcx"), st.booleans()), max_size=8), st.sampled_from([0.3, 0.6, 0.8, 0.9, 0.95]), st.dictionaries(st.text("abcdefg", min_size=2, max_size=2), st.integers(1, 9)))
+def test_tokens_of_similar_keys_meet(x, edits, least, known):
+    y = list(x)
+    for at, c, put in edits:
+        if put or not y:
+            y.insert(min(at, len(y)), c)
+        else:
+            del y[at % len(y)]
+    y, t = "".join(y), dedup._Tokens(known, least)
+    if len(y) > len(x) and (x in y or dedup._at_least(x, y, least)):
+        assert t.earlier(x, []) & t.later(y)
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(139, 200), (300, 301), (301, 300)]
+    got = {r.node: r.root for r in dedup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in [*range(100, 140), 200]} | {300: 300, 301: 300}
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text("abc", max_size=12), st.text("abc", max_size=12))
 def test_similarity_bound(a, b):
