@@ -245,15 +245,30 @@ def fit(patterns: dict[int, int], first: tuple, rounds: int = 40, strength: floa
 
 
 def ending_statistics(answers: DataFrame) -> DataFrame:
-    """(tail, ends, inside) over all answers; each task sums its rows before the shuffle."""
+    """(tail, ends, inside, row_ends, row_inside) over the distinct answers, and with each weighted by
+    its copies; each task sums its rows before the shuffle.
+
+    Answers alike but for numbers, case, spaces and closing marks are copies: among the distinct ones
+    they can't vouch for each other's ending.
+    """
 
     def work(batches):
         for pdf in batches:
-            last, inner = endings(pdf["answer"])
-            keys = list(last.keys() | inner.keys())
-            yield pd.DataFrame({"tail": pd.Series(keys, dtype=object), "ends": pd.Series([last.get(k, 0) for k in keys], dtype="int64"), "inside": pd.Series([inner.get(k, 0) for k in keys], dtype="int64")})
+            sums: dict[str, list[int]] = {}
+            for text, n in zip(pdf["answer"], pdf["n"]):
+                for k, grams in enumerate(endings([text])):
+                    for g, c in grams.items():
+                        s = sums.setdefault(g, [0, 0, 0, 0])
+                        s[k] += c
+                        s[k + 2] += c * n
+            out = pd.DataFrame(list(sums.values()), columns=["ends", "inside", "row_ends", "row_inside"], dtype="int64")
+            out.insert(0, "tail", pd.Series(list(sums), dtype=object))
+            yield out
 
-    return answers.mapInPandas(work, "tail string, ends long, inside long").groupBy("tail").agg(F.sum("ends").alias("ends"), F.sum("inside").alias("inside"))
+    same = F.regexp_replace(F.regexp_replace(F.lower("answer"), r"(?U)[\p{P}\p{S}\s]+$", ""), r"(?U)\d+|\s+", "0")
+    answers = answers.where("answer <> ''").groupBy(F.md5(same).alias("same")).agg(F.min("answer").alias("answer"), F.count("*").alias("n")).select("answer", "n")
+    counts = ["ends", "inside", "row_ends", "row_inside"]
+    return answers.mapInPandas(work, "tail string, " + ", ".join(f"{c} long" for c in counts)).groupBy("tail").agg(*[F.sum(c).alias(c) for c in counts])
 
 
 def label_votes(pairs: DataFrame) -> DataFrame:
@@ -270,11 +285,14 @@ def label_votes(pairs: DataFrame) -> DataFrame:
     voted = pairs.mapInPandas(work, schema)
     stats = ending_statistics(pairs.select("answer"))
     voted = voted.join(stats, "tail", "left")
-    # The pair's own ending doesn't count; an ending not seen elsewhere gives no vote.
-    ends, seen = F.coalesce("ends", F.lit(0)) - 1, F.coalesce("ends", F.lit(0)) - 1 + F.coalesce("inside", F.lit(0))
-    rare = (F.col("tail") != "") & (seen >= SEEN) & (ends < RARE * seen)
+    # The pair's own ending doesn't count, among distinct answers nor among rows; one not seen elsewhere gives no vote.
+    rare = F.lit(False)
+    for e, i in (("ends", "inside"), ("row_ends", "row_inside")):
+        ends = F.coalesce(e, F.lit(0)) - 1
+        seen = ends + F.coalesce(i, F.lit(0))
+        rare = rare | ((F.col("tail") != "") & (seen >= SEEN) & (ends < RARE * seen))
     bits = F.when(rare, F.col("truncated_answer").bitwiseOR(8)).otherwise(F.col("truncated_answer"))
-    return voted.withColumn("truncated_answer", bits.cast("int")).drop("tail", "ends", "inside")
+    return voted.withColumn("truncated_answer", bits.cast("int")).drop("tail", "ends", "inside", "row_ends", "row_inside")
 
 
 def posteriors(voted: DataFrame) -> dict[str, dict[int, float]]:

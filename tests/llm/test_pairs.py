@@ -48,3 +48,11 @@ def test_label_model_learns():
 def test_empty(spark):
     voted = P.label_votes(spark.createDataFrame([], "id string, question string, answer string"))
     assert P.defects(voted).count() == 0
+
+
+def test_copies_do_not_vouch_for_their_ending(spark):
+    cut = "包裹到站后请凭取件码领取，质检通过后646小时内会生成售"
+    rows = [(f"c{i}", "鞋码偏大吗", cut.replace("646", str(600 + i % 3)) + " " * (i % 2)) for i in range(50)]
+    rows += [(f"x{i}", "鞋码偏大吗", f"{a}质检通过后646小时内会生成售后单凭据。") for i, a in enumerate("甲乙丙丁戊己庚辛")]
+    got = {r.id: r.truncated_answer for r in P.label_votes(spark.createDataFrame(rows, "id string, question string, answer string")).collect()}
+    assert all(bool(got[k] & 8) == k.startswith("c") for k in got)
