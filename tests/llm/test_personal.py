@@ -95,3 +95,13 @@ def test_operator(spark):
     assert P.masked(df).count() == 6
     assert P.found(df.limit(0)).count() == 0
     assert P.fitted(df)["EMAIL"]
+
+
+def test_prefilter_passes_every_proposal(spark):
+    name = " John Smith"
+    cues = ["my name is", "name:", "I am", "this is", "it is for", "it's for", "ship it to", "send it to", "addressed to", "ask for", "attn", "Attn:", "attention", "Attention:", "placed by", "on behalf of", "regards,", "sincerely,", "signed,", "recipient", "Recipient:", "mein name ist", "ich heiße", "für frau", "für herrn", "FÜR FRAU", "Mr", "Dr."]
+    texts = [c + name for c in cues] + [c + "\u2003John Smith" for c in cues] + [c + "\xa0John Smith" for c in cues]
+    texts += ["card Ｃ０１Ｘ０００６Ｔ", "write to a.b（at）mail.example", "at 12\xa0Baker Street", "Ａｔｔｎ：　John Smith", "P.O. Box 12"] + [t for t, types in CASES if types]
+    proposed = [t for t in texts if P.nodes(t.translate(P._NARROW))]
+    df = spark.createDataFrame([("message", str(i), "message_content", t) for i, t in enumerate(proposed)], "record_kind string, record_key string, field_name string, text string")
+    assert len(proposed) > 80 and df.where(~P._proposing(df.text)).collect() == []
