@@ -96,10 +96,9 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_topics(spark: SparkSession, d: str) -> DataFrame:
-    """The terms that stand out in each subject's topic, for inspection."""
+    """The terms that stand out in each topic and the subject it stands for, for inspection."""
     documents = table(spark, d, "documents")
-    areas = [r[0] for r in table(spark, d, "subject_areas").select("area_code").distinct().orderBy("area_code").collect()]  # the fixed table of areas
-    return subjects.top_terms(documents, subjects.model(documents, table(spark, d, "subject_labels"), areas), areas)
+    return subjects.Topics(documents, table(spark, d, "subject_labels"), subjects.area_notes(table(spark, d, "subject_areas"))).top_terms(documents)
 
 
 QUERIES = {

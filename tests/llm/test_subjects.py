@@ -19,6 +19,32 @@ def test_held_out_labels(spark):
     assert hit / len(pairs) > 0.85 and hit / len(want) > 0.85  # a few labels are wrong
 
 
+def test_corpus_passes_learn_words_without_labels(spark):
+    """Words that no labelled document has come to their topic over documents that mix them."""
+    import random
+
+    rng = random.Random(5)
+    words = {"x": [f"xa{c}{e}" for c in "bcdfgh" for e in "klmn"], "y": [f"ya{c}{e}" for c in "bcdfgh" for e in "klmn"]}
+    new = {"x": [f"new{c}{e}" for c in "bcdfgh" for e in "klmn"], "y": [f"old{c}{e}" for c in "bcdfgh" for e in "klmn"]}
+    text = lambda pool, n=5: "。".join(" ".join(rng.choices(pool, k=6)) for _ in range(n))
+    rows = [(i, text(words["xy"[i % 2]])) for i in range(60)]
+    rows += [(i, text(words["xy"[i % 2]] + new["xy"[i % 2]])) for i in range(60, 300)]
+    rows += [(i, text(new["xy"[i % 2]])) for i in range(300, 360)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "xy"[i % 2]) for i in range(60)], "doc_id long, area_code string")
+    right = lambda passes: sum("xy"[r.doc_id % 2] == r.area_code for r in S.Topics(docs, labels, {"x": "", "y": ""}, passes=passes).assign().collect() if r.doc_id >= 300)
+    without, with_ = right(0), right(S.PASSES)
+    assert with_ >= 57 > without + 20
+
+
+def test_smoothing_follows_the_corpus_size():
+    """Counting a corpus ten times leaves its topics as they are."""
+    import numpy as np
+
+    counts = np.random.default_rng(2).random((S.BUCKETS, S.PARTS + S.BACKGROUND)) * 100
+    assert np.allclose(S.log_topics(counts), S.log_topics(counts * 10), atol=1e-5)
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "​ 　"), (4, "一。" * 5000), (5, "a" * 100_000)], "doc_id long, text string")
     labels = spark.createDataFrame([(4, "x"), (99, "x"), (1, None)], "doc_id long, area_code string")
@@ -27,5 +53,6 @@ def test_edges(spark):
     assert S.subjects(docs.limit(0), labels, areas).count() == 0
     assert S.subjects(docs, labels.limit(0), areas).count() >= 0
     assert S.subjects(docs, labels, areas.limit(0)).count() == 0
+    extra = docs.withColumns({c: F.lit("x") for c in ("terms", "sizes", "area_code", "sentences")})
+    assert sorted(S.subjects(extra, labels, areas).collect()) == sorted(S.subjects(docs, labels, areas).collect())
     assert S.sentences("好的。好的！ok. yes") == ["好的", "好的", "ok", " yes"]
-    assert F is not None
