@@ -1,140 +1,157 @@
 """Raw chat exports to messages, sessions and parse errors.
 
-An export is read line by line by a small machine; a file is one row and one unit of work, so any
-number of files is parsed in parallel without a shuffle.  All three outputs come out of one pass,
-tagged; sessions are numbered within their file and carry its name, so they never collide.
+An export is decoded by a vectorized function, cut into sessions at its start marks by array
+expressions, and from there on every line is a row: what a line is follows from its pattern and from
+counts of marks and headers before it in its session.  So an export of any number of sessions is
+spread over tasks, and each of the outputs, tagged by ``kind``, is an aggregate of the lines; a query
+that reads one kind plans only that.  Sessions are numbered within their export and carry its name,
+so they never collide.
 """
 
 from __future__ import annotations
 
 import re
-from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .files import decode
 
 # The marks of the export format.
 START, END = "以下为一通会话", "会话结束"
-HEADER = re.compile(r"^\s*(.+?)\s+(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2})\s*$")
-END_TIME = re.compile(r"会话结束_时间\s*[:：]\s*(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2})")
-LINK = re.compile(r"(?:https?://|www\.)\S+|\.(?:jpe?g|png|gif|webp|bmp)(?:[?#]\S*)?\b", re.I)
+HEADER = r"^\s*(.+?)\s+(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2})\s*$"
+END_TIME = r"会话结束_时间\s*[:：]\s*(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2})"
+LINK = r"(?i)(?:https?://|www\.)\S+|\.(?:jpe?g|png|gif|webp|bmp)(?:[?#]\S*)?\b"
 SERVICE_WORDS = ("客服",)
-FORMAT = "%Y-%m-%d %H:%M:%S"
-COLUMNS = ["kind", "source_file", "line_number", "session_no", "sender", "sender_type", "at", "end_at", "content", "content_type", "messages", "customer_messages", "service_messages", "error_type"]
+FORMAT = "yyyy-MM-dd HH:mm:ss"
+
+_BLANK = r"(?U)^[\s\x1c-\x1f]*$"
+_KEY = ["source_file", "session_no"]
 SCHEMA = "kind string, source_file string, line_number int, session_no int, sender string, sender_type string, at string, end_at string, content string, content_type string, messages int, customer_messages int, service_messages int, error_type string"
 
 
-def _moment(value: str) -> str | None:
-    value = value.replace("T", " ")
-    try:
-        datetime.strptime(value, FORMAT)
-    except ValueError:
-        return None
-    return value
-
-
-class Reader:
-    """Reads one export; ``rows`` are dicts of COLUMNS."""
-
-    def __init__(self, name: str, service_words=SERVICE_WORDS):
-        self.name, self.words, self.rows = name, service_words, []
-        self.number, self.inside, self.own, self.head, self.body = 0, False, [], None, []
-
-    def emit(self, kind: str, **values) -> None:
-        self.rows.append(dict.fromkeys(COLUMNS) | {"kind": kind, "source_file": self.name} | values)
-
-    def error(self, kind: str, line: int, text: str = "") -> None:
-        self.emit("error", error_type=kind, line_number=line, content=text, session_no=self.number if self.inside else None)
-
-    def message(self) -> None:
-        if self.head is None:
-            return
-        sender, at, line, raw = self.head
-        body = self.body
-        filled = [i for i, x in enumerate(body) if x.strip()]
-        text = "\n".join(x.rstrip("\r\n\t") for x in body[filled[0] : filled[-1] + 1]) if filled else ""
-        if not text:
-            self.error("missing_message_content", line, raw)
-        role = "service" if any(w in sender for w in self.words) else "customer"
-        self.emit("message", session_no=self.number, line_number=line, sender=sender.strip(), sender_type=role, at=at, content=text, content_type="image_or_link" if LINK.search(text) else "text")
-        self.own.append((role, at))
-        self.head, self.body = None, []
-
-    def close(self, line: int, end: str | None, implied: bool) -> None:
-        self.message()
-        if implied:
-            self.error("missing_session_end", line)
-        times = [t for _, t in self.own]
-        roles = [r for r, _ in self.own]
-        self.emit("session", session_no=self.number, messages=len(roles), customer_messages=roles.count("customer"), service_messages=roles.count("service"), at=min(times, default=None), end_at=end or max(times, default=None))
-        if not roles:
-            self.error("empty_session", line)
-        self.inside, self.own = False, []
-
-    def line(self, n: int, text: str) -> None:
-        if START in text:
-            if self.inside:
-                self.close(n, None, True)
-            self.number, self.inside = self.number + 1, True
-        elif END in text:
-            if not self.inside:
-                return self.error("end_without_start", n, text)
-            m = END_TIME.search(text)
-            end = _moment(m[1]) if m else None
-            if end is None:
-                self.error("invalid_session_end_time", n, text)
-            self.close(n, end, False)
-        elif not self.inside:
-            if text.strip():
-                self.error("line_outside_session", n, text)
-        elif m := HEADER.match(text):
-            at = _moment(m[2])
-            if at is None:
-                self.error("invalid_message_time", n, text)
-                if self.head is not None:
-                    self.body.append(text)
-                return None
-            self.message()
-            self.head = (m[1], at, n, text)
-        elif self.head is not None:
-            self.body.append(text)
-        elif text.strip():
-            self.error("content_without_header", n, text)
-        return None
-
-    def read(self, data: bytes | None) -> list[dict]:
-        text, encoding = decode(data)
-        if text is None:
-            self.error("unreadable", 0)
-            return self.rows
-        if encoding == "utf-8-replace":
-            self.error("decode_replacement", 0)
-        lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-        for n, line in enumerate(lines, 1):
-            self.line(n, line.rstrip("\t"))
-        if self.inside:
-            self.close(len(lines), None, True)
-        return self.rows
-
-
-def parse(sources: DataFrame, name: str = "source_name", data: str = "data") -> DataFrame:
-    """All rows of the exports, tagged by ``kind`` ('message', 'session' or 'error').
+def _moment(found: Column) -> Column:
+    """A time text with a space for 'T', null if there is no such time."""
+    t = F.translate(found, "T", " ")
+    return F.when(F.try_to_timestamp(t, F.lit(FORMAT)).isNotNull() & ~t.startswith("0000"), t)
 
-    Null data gives an 'unreadable' error, empty data nothing.
-    """
 
-    def work(batches):
-        for pdf in batches:
-            rows = [r for n, d in zip(pdf[name], pdf[data]) for r in Reader(n).read(None if d is None else bytes(d))]
-            out = pd.DataFrame(rows, columns=COLUMNS)
-            for c in ("line_number", "session_no", "messages", "customer_messages", "service_messages"):
-                out[c] = out[c].astype("Int32")
-            yield out
+def _decoded(data: Column) -> Column:
+    def work(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([decode(None if d is None else bytes(d)) for d in values], columns=["text", "encoding"])
+
+    return F.pandas_udf(work, "struct<text:string,encoding:string>")(data)
 
-    return sources.select(name, data).mapInPandas(work, SCHEMA)
+
+def _lines(exports: DataFrame) -> DataFrame:
+    """One row a line: its place, session, total lines of the export and what it is.
+
+    session_no counts the start marks so far; 0 is what stands before the first.
+    """
+    text_lines = F.split("text", "\r\n|\r|\n", -1)
+    d = exports.where("text is not null").select("source_file", text_lines.alias("lines"))
+    marks = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.element_at("lines", i.cast("int")).contains(START))
+    d = d.withColumn("cuts", F.concat(F.array(F.lit(1)), marks, F.array(F.size("lines") + 1)))
+    part = lambda i: F.struct(i.alias("session_no"), F.element_at("cuts", i + 1).alias("first"), F.slice("lines", F.element_at("cuts", i + 1), F.element_at("cuts", i + 2) - F.element_at("cuts", i + 1)).alias("lines"))
+    d = d.select("source_file", F.size("lines").alias("total"), F.inline(F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), part)))
+    d = d.select("source_file", "session_no", "total", "first", F.posexplode("lines").alias("at_line", "raw"))
+    d = d.select(*_KEY, "total", (F.col("first") + F.col("at_line")).alias("n"), F.regexp_replace("raw", "\t+$", "").alias("line"))
+    header = ~F.col("line").contains(START) & ~F.col("line").contains(END) & F.col("line").rlike(HEADER)
+    d = d.withColumns(
+        {
+            "mark": F.when(F.col("line").contains(START), "start").when(F.col("line").contains(END), "end"),
+            "sender": F.when(header, F.regexp_extract("line", HEADER, 1)),
+            "time": F.when(header, _moment(F.regexp_extract("line", HEADER, 2))),
+            "blank": F.col("line").rlike(_BLANK),
+        }
+    )
+    before = Window.partitionBy(*_KEY).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    through = Window.partitionBy(*_KEY).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("open", (F.col("session_no") > 0) & (F.coalesce(F.count_if(F.col("mark") == "end").over(before), F.lit(0)) == 0))
+    return d.withColumn("head", F.count_if(F.col("open") & F.col("time").isNotNull()).over(through))
+
+
+def _message_rows(lines: DataFrame, words: tuple[str, ...]) -> DataFrame:
+    """One row a message; the line of its header, and that line itself, for the errors."""
+    own = lines.where(F.col("open") & (F.col("head") > 0) & F.col("mark").isNull())
+    is_head = F.col("time").isNotNull()
+    only = lambda c: F.max(F.when(is_head, F.col(c))).alias(c)
+    body = F.transform(F.array_sort(F.collect_list(F.when(~is_head, F.struct("n", "line")))), lambda x: x["line"])  # the lines of one message
+    g = own.groupBy(*_KEY, "head").agg(only("n"), only("sender"), only("time"), only("line"), F.array_join(body, "\n").alias("body"))
+    inner = F.regexp_replace(F.regexp_replace("body", r"(?U)^[\s\x1c-\x1f]*\n", ""), r"(?U)\n[\s\x1c-\x1f]*$", "")
+    content = F.when(F.col("body").rlike(_BLANK), "").otherwise(inner)
+    service = F.lit(False)
+    for w in words:
+        service = service | F.col("sender").contains(w)
+    return g.select(*_KEY, "n", F.trim("sender").alias("sender"), F.when(service, "service").otherwise("customer").alias("sender_type"), F.col("time").alias("at"), content.alias("content"), "line")
+
+
+def _session_rows(lines: DataFrame, words: tuple[str, ...]) -> DataFrame:
+    """One row a session: counts, times, the line that closes it, and whether an end mark does."""
+    service = F.lit(False)
+    for w in words:
+        service = service | F.col("sender").contains(w)
+    headed = F.col("open") & F.col("time").isNotNull()
+    ending = F.col("open") & (F.col("mark") == "end")
+    told = _moment(F.regexp_extract("line", END_TIME, 1))
+    g = lines.where("session_no > 0").groupBy(*_KEY).agg(
+        F.count_if(headed).cast("int").alias("messages"),
+        F.count_if(headed & service).cast("int").alias("service_messages"),
+        F.min(F.when(headed, F.col("time"))).alias("at"),
+        F.max(F.when(headed, F.col("time"))).alias("last"),
+        F.max(F.when(ending, told)).alias("told"),
+        F.max(F.when(ending, F.col("n"))).alias("end_line"),
+        # Without an end mark the next start closes the session, or the end of the export.
+        F.least(F.max("n") + 1, F.max("total")).alias("closed"),
+    )
+    return g.withColumns({"end_at": F.coalesce("told", "last"), "customer_messages": F.col("messages") - F.col("service_messages")})
+
+
+def parse(sources: DataFrame, name: str = "source_name", data: str = "data", service_words: tuple[str, ...] = SERVICE_WORDS) -> DataFrame:
+    """All rows of the exports, tagged by ``kind`` ('message', 'session' or 'error').
+
+    Null data gives an 'unreadable' error, empty data and empty tables nothing.  A message without
+    content is kept, with an error; a header of no existing time is an error and part of the message
+    before it.  Exports of one name are read as one more session each of that name's numbers, so
+    names should be unique.
+    """
+    exports = sources.select(F.col(name).alias("source_file"), _decoded(F.col(data)).alias("d")).select("source_file", "d.text", "d.encoding")
+    lines = _lines(exports)
+    told = _message_rows(lines, service_words)
+    closed = _session_rows(lines, service_words)
+    kinds = [f.split() for f in SCHEMA.split(", ")]
+
+    def rows(df: DataFrame, kind: str, **values: Column) -> DataFrame:
+        values["kind"] = F.lit(kind)
+        own = {c: F.col(c) for c in _KEY if c in df.columns} | values
+        return df.select(*[own.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds])
+
+    col = F.col
+    link = F.when(col("content").rlike(LINK), "image_or_link").otherwise("text")
+    messages_ = rows(told, "message", line_number=col("n"), sender=col("sender"), sender_type=col("sender_type"), at=col("at"), content=col("content"), content_type=link)
+    sessions_ = rows(closed, "session", at=col("at"), end_at=col("end_at"), messages=col("messages"), customer_messages=col("customer_messages"), service_messages=col("service_messages"))
+
+    is_end = F.coalesce(col("mark") == "end", F.lit(False))
+    plain, header = col("mark").isNull(), col("sender").isNotNull()
+    wrong = (
+        F.when(is_end & ~col("open"), "end_without_start")
+        .when(is_end & _moment(F.regexp_extract("line", END_TIME, 1)).isNull(), "invalid_session_end_time")
+        .when(plain & ~col("open") & ~col("blank"), "line_outside_session")
+        .when(plain & col("open") & header & col("time").isNull(), "invalid_message_time")
+        .when(plain & col("open") & ~header & (col("head") == 0) & ~col("blank"), "content_without_header")
+    )
+    number = F.when(col("open"), col("session_no"))
+    errors_ = rows(lines.withColumn("wrong", wrong).where("wrong is not null"), "error", session_no=number, line_number=col("n"), content=col("line"), error_type=col("wrong"))
+    empty = rows(told.where("content = ''"), "error", line_number=col("n"), content=col("line"), error_type=F.lit("missing_message_content"))
+    at_close = F.array_compact(F.array(F.when(col("end_line").isNull(), F.lit("missing_session_end")), F.when(col("messages") == 0, F.lit("empty_session"))))
+    ends = rows(closed.select("*", F.explode(at_close).alias("wrong")), "error", line_number=F.coalesce("end_line", "closed"), content=F.lit(""), error_type=col("wrong"))
+    unread = F.when(col("text").isNull(), "unreadable").when(col("encoding") == "utf-8-replace", "decode_replacement")
+    whole = rows(exports.withColumn("wrong", unread).where("wrong is not null"), "error", line_number=F.lit(0), content=F.lit(""), error_type=col("wrong"))
+    out = messages_
+    for part in (sessions_, errors_, empty, ends, whole):
+        out = out.unionByName(part)
+    return out
 
 
 def messages(parsed: DataFrame) -> DataFrame:
