@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from colloquy.functions import text
@@ -94,6 +95,8 @@ def test_incremental(spark):
 
 def test_incremental_large_sessions(spark):
     """Joins find what the comparison of all pairs does, in sessions with a hot question and without."""
+    from itertools import combinations
+
     r, rows = random.Random(7), []
     words = ["鞋子", "什么时候", "发货", "运费", "谁出", "尺码", "偏大", "吗", "呢亲", "请问", "，", "。", "a", "b1", "退货"]
     for i in range(700):
@@ -106,10 +109,59 @@ def test_incremental_large_sessions(spark):
         answer = r.choice(["好", "今天下午就会发出的亲", "今天下午就会发出的亲亲", "卖家来出运费不用担心"])
         rows.append((r.choice(["hot", "hot", "b", None]), i, r.choice([q, q, q, "发货吗"]), answer, r.choice(["物流发货", "其他"]), r.choice([1, 2])))
     df = spark.createDataFrame(rows, "session string, n int, merged_question string, answer string, category string, context_message_count int")
-    run = lambda most, s: sorted(map(str, dedup.incremental(df, "session", ["n"], rules.BUSINESS_WORDS, rules.CATEGORIES, [], same_question=s, most=most).collect()))
+    keys = ("qkey", "akey", "category", "topics", "phrases")
+    fields = df.select("session", "n", "merged_question", text.key(F.col("merged_question")).alias("qkey"), text.key(F.col("answer")).alias("akey"), "category", rules.all_matches(F.col("merged_question"), rules.CATEGORIES).alias("topics"), text.key_phrases(F.col("merged_question"), []).alias("phrases"), text.specificity(F.col("answer"), rules.BUSINESS_WORDS).alias("spec"), "context_message_count")
+    by = {}
+    for x in fields.orderBy("n").collect():
+        by.setdefault(x["session"], []).append(x)
     for s in (0.9, 0.6):
-        want = run(5000, s)
-        assert len(want) > 100 and run(200, s) == want
+        pairs = [(a["n"], b["n"], *[a[k] for k in keys], *[b[k] for k in keys]) for g in by.values() for a, b in combinations(g, 2)]
+        schema = "x int, y int, " + ", ".join(f"{k}_{side} {'array<string>' if k in ('topics', 'phrases') else 'string'}" for side in "xy" for k in keys)
+        why = {(p["x"], p["y"]): p["reason"] for p in dedup.with_reason(spark.createDataFrame(pairs, schema), 0.8, s).where("reason is not null").collect()}
+        want = []
+        for g in by.values():
+            near = {x["n"]: set() for x in g}
+            for a, b in why:
+                if a in near:
+                    near[a].add(b)
+                    near[b].add(a)
+            seen = set()
+            for x in g:
+                if x["n"] in seen:
+                    continue
+                todo, part = [x["n"]], {x["n"]}
+                while todo:
+                    new = near[todo.pop()] - part
+                    part |= new
+                    todo += new
+                seen |= part
+                mine = [y for y in g if y["n"] in part]
+                kept = max(mine, key=lambda y: (len(y["qkey"]), y["context_message_count"], tuple(y["spec"]), y["n"]))
+                want += [str(Row(session=y["session"], removed_question=y["merged_question"], kept_question=kept["merged_question"], remove_reason=why.get((y["n"], kept["n"]), dedup.CHAIN))) for y in mine if y is not kept]
+        assert len(want) > 100
+        got = dedup.incremental(df, "session", ["n"], rules.BUSINESS_WORDS, rules.CATEGORIES, [], same_question=s)
+        assert sorted(map(str, got.collect())) == sorted(want)
+
+
+def test_reasons(spark):
+    """Reasons of single pairs: prefix, containment, likeness, phrases; topics and answers keep apart."""
+    f = lambda q, a="好", c="其他", t=(), p=(): (q, a, c, list(t), list(p))
+    cases = [
+        (f("何时发货"), f("何时发货呢亲"), dedup.PREFIX),
+        (f("何时发货"), f("请问何时发货"), dedup.CONTAINED),
+        (f("何时发货", p=["何时发货"]), f("何时发货"), None),
+        (f(""), f("何时发货"), None),
+        (f("abcdefghijklmnopqrst"), f("abcdefghijklmnopqrsxyt"), dedup.ALIKE + "0.952"),
+        (f("尺码颜色", p=["尺码", "颜色"]), f("颜色多少和尺码多少", p=[]), dedup.PHRASES),
+        (f("何时发货", c="物流"), f("何时发货呢", c="售后"), None),
+        (f("运费", t=["费"]), f("运费和材质", t=["费", "材"]), None),
+        (f("何时发货", a="今天下午就会发出"), f("何时发货呢", a="无法确定请再等等"), None),
+        (f("何时发货", a="今天下午"), f("何时发货呢", a="无法确定请再等等"), dedup.PREFIX),
+    ]
+    keys = ("qkey", "akey", "category", "topics", "phrases")
+    schema = "i int, " + ", ".join(f"{k}_{side} {'array<string>' if k in ('topics', 'phrases') else 'string'}" for side in "xy" for k in keys)
+    got = {r["i"]: r["reason"] for r in dedup.with_reason(spark.createDataFrame([(i, *a, *b) for i, (a, b, _) in enumerate(cases)], schema), 0.8, 0.9).collect()}
+    assert [got[i] for i in range(len(cases))] == [w for _, _, w in cases]
 
 
 @settings(max_examples=400, deadline=None)
