@@ -45,18 +45,23 @@ def conflicting(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def range_lookup(df: DataFrame, value: str, chart: DataFrame, low: str, high: str, label: str, order: str) -> DataFrame:
-    """Append ``label`` of the first chart row with low <= value <= high.
+    """Append ``label`` of the first chart row (by ``order``, then label) with low <= value <= high.
 
-    The chart is a small table of ranges (its size is checked by the caller's bound).
+    A chart of any size: a range is put into buckets about as wide as itself, of which it meets three
+    at most, and a value looks once into each width that the chart has; so it is an equi-join, of the
+    distinct values only.  Null values and values in no range get null, null and reversed ranges are
+    left out.
     """
-    rows = chart.select(low, high, label, order).orderBy(order).limit(1001).collect()
-    if len(rows) > 1000:
-        raise ValueError("a chart has 1000 rows at most")
-    out = None
-    for r in rows:
-        hit = F.col(value).between(r[low], r[high])
-        out = F.when(hit, F.lit(r[label])) if out is None else out.when(hit, F.lit(r[label]))
-    return df.withColumn(label, F.lit(None).cast("string") if out is None else out)
+    c = chart.select(F.col(low).cast("double").alias("_low"), F.col(high).cast("double").alias("_high"), F.struct(F.col(order).alias("o"), F.col(label).alias("l")).alias("_l")).where("_low <= _high")
+    c = c.withColumn("_level", F.when(F.col("_high") > F.col("_low"), F.least(F.ceil(F.log2(F.col("_high") - F.col("_low"))), F.lit(1024))).otherwise(0).cast("int"))
+    levels = [r[0] for r in c.select("_level").distinct().collect()]  # at most one for each exponent of a double
+    at = lambda x: F.when(F.col("_level") < 1024, F.floor(x / F.pow(F.lit(2.0), F.col("_level")))).otherwise(0)
+    ranges = c.withColumn("_bucket", F.explode(F.sequence(at(F.col("_low")), at(F.col("_high")))))
+    values = df.select(F.col(value).alias("_value")).where("_value is not null").distinct()
+    looks = values.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>"))).withColumn("_bucket", at(F.col("_value").cast("double")))
+    hits = looks.join(ranges, ["_level", "_bucket"]).where(F.col("_value").cast("double").between(F.col("_low"), F.col("_high"))).groupBy("_value").agg(F.min("_l").alias("_l"))
+    keep = [c for c in df.columns if c != label]
+    return df.select(*keep).join(hits, df[value] == F.col("_value"), "left").select(*keep, F.col("_l.l").alias(label))
 
 
 def nearest_equal(left: DataFrame, right: DataFrame, a: str, b: str, within: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import roles, text
 from ..operators import catalog, dedup, masking, nested, retrieval, review, rules, sampling, stats, turns
 from ..runtime import table
 from ..sources import chat, corpus
@@ -34,12 +34,12 @@ def query(sql: str | None = None):
 
 
 def spoken(spark: SparkSession, d: str) -> DataFrame:
-    """Messages of customers and services with a session, roles in lower case."""
-    m = table(spark, d, "messages").withColumn("role", F.lower(F.trim("sender_type")))
+    """Messages of customers and services with a session; the role from any spelling of the type."""
+    m = table(spark, d, "messages").withColumn("role", roles.role(F.col("sender_type")))
     return m.where(F.col("role").isin("customer", "service") & (F.trim("session_id") != ""))
 
 
-SPOKEN = "m as (select *, lower(trim(sender_type)) as role from messages where lower(trim(sender_type)) in ('customer', 'service') and trim(session_id) <> '')"
+SPOKEN = f"m as (select * from (select *, {roles.sql('sender_type')} as role from messages) where role in ('customer', 'service') and trim(session_id) <> '')"
 ISLANDS = SPOKEN + ", g as (select *, case when lag(role) over w is distinct from role or lag(message_id) over w is null then 1 else 0 end as new from m window w as (partition by session_id order by input_order, message_id)), t as (select *, sum(new) over (partition by session_id order by input_order, message_id rows unbounded preceding) as turn_no, row_number() over (partition by session_id order by input_order, message_id) as pos from g)"
 _SQL_KEY = "lower(regexp_replace(coalesce({0}, ''), '[\\t-\\r\\x{{85}}\\p{{Z}},，。.!！?？~～、；;：:…·\\-]+', '', 'g'))"
 
