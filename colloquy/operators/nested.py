@@ -1,17 +1,17 @@
 """Nested records to related flat tables.
 
-Method: every record is cut into (path, ordinals, value) triples by expressions derived from the
+Method: every record is cut into (path, ordinals, value) triples by one expression derived from the
 schema; paths are grouped by the repeated ancestor (array or map) they belong to; each group is
-pivoted into one table with a key to its parent row.  All of it is declared as ``explode`` and
-struct access, so a record is streamed through one projection: no shuffle, and Parquet reads only
-the leaves that are asked for.
+pivoted into one table with a key to its parent row.  A record is streamed through one projection and
+Parquet reads only the leaves that are asked for.  The pivots are partial aggregates by key first,
+so after ``latest``, which leaves the rows partitioned by their key, none of them shuffles.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,57 +67,50 @@ def _leaf(schema: T.DataType, path: tuple[str, ...]) -> T.DataType:
     return schema
 
 
-def explode_group(df: DataFrame, path: tuple[str, ...], keep: list[str]) -> DataFrame:
-    """One row for each element at ``path``: keep columns, ``ordinals`` ARRAY<INT> (from 1, one for
-    each array on the way; 0 for a map), ``map_key`` (null without map), ``element``, ``parents``
-    (elements passed on the way, outermost first).
+_TRIPLE = "array<struct<path:string,group:string,ordinals:array<int>,map_key:string,value:string>>"
 
-    Null and empty arrays and null structs give no row; null elements do, with their place.
-    """
-    out = df.select(*keep, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("element")).withColumns({"ordinals": F.array().cast("array<int>"), "map_key": F.lit(None).cast("string")})
-    step = 0
-    parents: list[str] = []
-    for p in path:
-        if p == "[]":
-            name, step = f"_parent{step}", step + 1
-            parents.append(name)
-            out = out.select(*keep, *parents[:-1], F.col("_outer").alias(name), "ordinals", "map_key", F.posexplode("element").alias("_pos", "_el"))
-            out = out.select(*keep, *parents, F.concat("ordinals", F.array((F.col("_pos") + 1).cast("int"))).alias("ordinals"), "map_key", F.col("_el").alias("element"))
-            out = out.withColumn("_outer", F.col("element"))
-        elif p == "{}":
-            name, step = f"_parent{step}", step + 1
-            parents.append(name)
-            out = out.select(*keep, *parents[:-1], F.col("_outer").alias(name), "ordinals", "map_key", F.explode("element").alias("_key", "_el"))
-            out = out.select(*keep, *parents, F.concat("ordinals", F.array(F.lit(0))).alias("ordinals"), F.col("_key").cast("string").alias("map_key"), F.col("_el").alias("element"))
-            out = out.withColumn("_outer", F.col("element"))
+
+def _cut(value: Column, kind: T.DataType, path: tuple[str, ...], group: tuple[str, ...], ordinals: Column, key: Column, wanted: set | None) -> Column | None:
+    """Array of the triples of a value, in the order of the schema; None if no leaf below is wanted."""
+    if isinstance(kind, T.StructType):
+        parts = [_cut(value.getField(f.name), f.dataType, (*path, f.name), group, ordinals, key, wanted) for f in kind.fields]
+        parts = [x for x in parts if x is not None]
+        return F.concat(*parts) if parts else None
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        here = (*path, "[]" if isinstance(kind, T.ArrayType) else "{}")
+        inner = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType
+        if _cut(value, inner, here, here, ordinals, key, wanted) is None:
+            return None
+        if isinstance(kind, T.ArrayType):
+            each = F.transform(value, lambda x, i: _cut(x, inner, here, here, F.concat(ordinals, F.array((i + 1).cast("int"))), key, wanted))
         else:
-            if "_outer" not in out.columns:
-                out = out.withColumn("_outer", F.col("element"))
-            out = out.withColumn("element", F.col("element").getField(p))
-    return out
+            each = F.transform(F.map_entries(value), lambda e: _cut(e["value"], inner, here, here, F.concat(ordinals, F.array(F.lit(0))), e["key"].cast("string"), wanted))
+        return F.coalesce(F.flatten(each), F.array().cast(_TRIPLE))
+    if wanted is not None and path not in wanted:
+        return None
+    cells = (F.lit(".".join(path)).alias("path"), F.lit(".".join(group)).alias("group"), ordinals.alias("ordinals"), key.alias("map_key"), _text(value, kind).alias("value"))
+    return F.array(F.struct(*cells)).cast(_TRIPLE)
 
 
 def triples(df: DataFrame, key: str, paths: list[tuple[str, ...]] | None = None) -> DataFrame:
-    """(key, path, ordinals, map_key, value): one row for each leaf value, null values included.
+    """(key, path, group, ordinals, map_key, value): one row for each leaf value, null values included.
 
-    paths: the leaves wanted, all by default.  An empty table gives no triples.
+    paths: the leaves wanted, all by default.  group is the path of the repeated ancestor, '' for
+    the record.  ordinals has one place, from 1, for each array on the way and 0 for a map; map_key
+    is the innermost key.  Null and empty arrays give no triples, null elements do.  An empty table
+    gives none.
     """
-    wanted = None if paths is None else set(paths)
-    out = None
-    for g in groups(df.schema).values():
-        leaves = [x for x in g.leaves if wanted is None or x in wanted]
-        if not leaves:
-            continue
-        inner = explode_group(df, g.path, [key])
-        cells = []
-        for leaf in leaves:
-            value = F.col("element")
-            for name in leaf[len(g.path) :]:
-                value = value.getField(name)
-            cells.append(F.struct(F.lit(".".join(leaf)).alias("path"), _text(value, _leaf(df.schema, leaf)).alias("value")))
-        part = inner.select(key, "ordinals", "map_key", F.inline(F.array(*cells)).alias("path", "value")).select(key, "path", "ordinals", "map_key", "value")
-        out = part if out is None else out.unionByName(part)
-    return out
+    parts = [_cut(F.col(f"`{f.name}`"), f.dataType, (f.name,), (), F.array().cast("array<int>"), F.lit(None).cast("string"), None if paths is None else set(paths)) for f in df.schema.fields]
+    parts = [x for x in parts if x is not None]
+    return df.select(F.col(f"`{key}`"), F.inline(F.concat(*parts) if parts else F.array().cast(_TRIPLE)))
+
+
+def pivot(cut: DataFrame, key: str, leaves: dict[str, str]) -> DataFrame:
+    """(key, group, ordinals, map_key, one column a leaf): one row for each element of any group.
+
+    leaves: column name by path.
+    """
+    return cut.groupBy(F.col(f"`{key}`"), "group", "ordinals", "map_key").agg(*[F.max(F.when(F.col("path") == p, F.col("value"))).alias(name) for p, name in leaves.items()])
 
 
 def flat_tables(df: DataFrame, key: str) -> dict[str, DataFrame]:
@@ -125,21 +118,16 @@ def flat_tables(df: DataFrame, key: str) -> dict[str, DataFrame]:
 
     Columns: key, ordinals (place from 1 in each array on the way; a child's ordinals begin with its
     parent's), map_key, then one column a leaf, named by its path below the group ('value' for
-    arrays of plain values).  Key and ordinals join a child to its parent.
+    arrays of plain values).  Key and ordinals join a child to its parent.  The key must be one of
+    records: rows of equal key would be one.
     """
+    cut = triples(df, key)
     out = {}
     for g in groups(df.schema).values():
-        inner = explode_group(df, g.path, [key])
-        cols = []
-        for leaf in g.leaves:
-            rest = leaf[len(g.path) :]
-            if not g.path and rest == (key,):
-                continue
-            value = F.col("element")
-            for name in rest:
-                value = value.getField(name)
-            cols.append(value.alias("_".join(rest) or "value"))
-        out[".".join(g.path)] = inner.select(key, *(["ordinals", "map_key"] if g.path else []), *cols)
+        names = {".".join(leaf): "_".join(leaf[len(g.path) :]) or "value" for leaf in g.leaves if leaf != (key,)}
+        table = pivot(cut.where(F.col("group") == ".".join(g.path)), key, {p: f"_{i}" for i, p in enumerate(names)})
+        cols = [F.col(f"_{i}").cast(_leaf(df.schema, tuple(p.split(".")))).alias(name) for i, (p, name) in enumerate(names.items())]
+        out[".".join(g.path)] = table.select(F.col(f"`{key}`"), *(["ordinals", "map_key"] if g.path else []), *cols)
     return out
 
 
@@ -151,18 +139,18 @@ def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """
     record = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     rank = F.struct(*[F.col(c) for c in order])
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(record, rank).alias("_r")).select("_r.*")
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(record, rank).alias("_r")).select(*[F.col(c) if c == key else F.col("_r").getField(c).alias(c) for c in df.columns])
 
 
-#: Items of the product catalogue: kind, leaf path, path of the parent's key below the outer element.
+#: Items of the product catalogue: kind, leaf path, leaf path of the parent's key, if it has one.
 PRODUCT_ITEMS = [
     ("upper_material", ("construction", "upper_material"), None),
     ("scenario", ("identity", "scenarios", "[]"), None),
     ("season", ("identity", "seasons", "[]"), None),
     ("variant", ("variants", "[]", "variant_id"), None),
-    ("variant_size", ("variants", "[]", "available_sizes", "[]"), "variant_id"),
+    ("variant_size", ("variants", "[]", "available_sizes", "[]"), ("variants", "[]", "variant_id")),
     ("size_chart", ("sizing", "size_chart", "[]", "recommended_size"), None),
-    ("function_level", ("functions", "{}", "level"), "{}"),
+    ("function_level", ("functions", "{}", "level"), None),
     ("gallery_image", ("media", "gallery", "[]", "asset_ref"), None),
 ]
 
@@ -174,29 +162,20 @@ def product_items(products: DataFrame) -> DataFrame:
     ordinals; repeats are kept.  parent_key is the trimmed variant_id or map key, '' where there is
     none.  Null structs, arrays and maps give no rows.
 
-    The triples of a record are built side by side in one pass: each kind is an array expression
-    over the record, and their concatenation is exploded once.
+    The records' triples are pivoted into their groups' tables; a child looks up its parent's key
+    among the elements that share the parent's ordinals, which are few and lie in one partition.
     """
     rows = latest(products, "product_id", ["revision", "ingested_at"])
-    item = "array<struct<child_kind:string,parent_key:string,ordinal:int,item_value:string>>"
-    kinds = []
-    for kind, path, parent in PRODUCT_ITEMS:
-        kinds.append(F.coalesce(_items(F.col(path[0]), path[1:], kind, parent), F.array().cast(item)).cast(item))
-    out = rows.select("product_id", F.inline(F.concat(*kinds)))
+    leaves = {".".join(path): kind for kind, path, _ in PRODUCT_ITEMS}
+    wide = pivot(triples(rows, "product_id", [path for _, path, _ in PRODUCT_ITEMS]), "product_id", leaves)
+    above = {kind: leaves[".".join(parent)] for kind, _, parent in PRODUCT_ITEMS if parent}
+    w = Window.partitionBy("product_id", F.substring_index("group", ".", 1), F.get("ordinals", F.lit(0)))
+    wide = wide.withColumns({f"above_{kind}": F.max(own).over(w) for kind, own in above.items()})
+    text = lambda c: F.coalesce(strip(c), F.lit(""))
+    cells = []
+    for kind, path, _ in PRODUCT_ITEMS:
+        parent = text(F.col(f"above_{kind}")) if kind in above else text(F.col("map_key")) if "{}" in path else F.lit("")
+        ordinal = F.coalesce(F.try_element_at("ordinals", F.lit(-1)), F.lit(0)) if set(path) & {"[]", "{}"} else F.lit(0)
+        cells.append(F.struct(F.lit(kind).alias("child_kind"), parent.alias("parent_key"), ordinal.cast("int").alias("ordinal"), strip(F.col(kind)).alias("item_value")))
+    out = wide.select("product_id", F.inline(F.array(*cells)))
     return out.where(F.col("item_value") != "").select("child_kind", "product_id", "parent_key", "ordinal", "item_value")
-
-
-def _items(value: Column, path: tuple[str, ...], kind: str, parent: str | None, key: Column | None = None, ordinal: Column | None = None) -> Column:
-    """Array of item structs below ``value``; a nested array takes the innermost ordinal."""
-    if not path:
-        text = strip(value.cast("string"))
-        where = F.lit("") if key is None else F.coalesce(strip(key.cast("string")), F.lit(""))
-        return F.array(F.struct(F.lit(kind).alias("child_kind"), where.alias("parent_key"), (F.lit(0) if ordinal is None else ordinal).cast("int").alias("ordinal"), text.alias("item_value")))
-    head, rest = path[0], path[1:]
-    if head == "[]":
-        # The key of the parent is a field of the outer element, so it is taken before going deeper.
-        outer = parent is not None and "[]" in rest
-        return F.flatten(F.transform(value, lambda x, i: F.coalesce(_items(x, rest, kind, parent, x.getField(parent) if outer else key, i + 1), F.array())))
-    if head == "{}":
-        return F.flatten(F.transform(F.map_entries(value), lambda e: _items(e["value"], rest, kind, parent, e["key"] if parent == "{}" else key, ordinal)))
-    return _items(value.getField(head), rest, kind, parent, key, ordinal)
