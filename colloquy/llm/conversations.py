@@ -5,9 +5,10 @@ automaton reads the roles in that order and keeps the conversations it accepts.
 
 No group is gathered in one task: duplicates are removed by a partial aggregate over (session,
 place); the sort is a range partitioning over (session, instant, place), so a session of any size is
-spread over tasks; the automaton's summaries of parts of a session can be joined (its transitions
-depend on the letter only through 'any unknown', 'any customer' and 'the last letter'), so it runs
-as a partial aggregate too; places count from the session's first row.
+spread over tasks.  The automaton runs on pieces of ``CHUNK`` rows side by side: what a piece does to
+every state is an element of the automaton's transition monoid, which is derived from ``TRANSITIONS``
+alone; a session's few elements are then multiplied in order.  Places count from the session's first
+row, and a verdict goes back to the rows by session and piece.
 """
 
 from __future__ import annotations
@@ -15,14 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.roles import role
 from ..operators import timestamps
 from ..operators.nested import strip
 from ..runtime import materialize
 
-# Spellings of the roles, in lower case.
-CUSTOMER = "customer buyer client user consumer shopper guest visitor 客户 顾客 买家 用户 消费者 访客 会员 kunde kundin käufer käuferin 顧客 客戶 買家 cliente acheteur".split()
-SERVICE = "service agent seller staff support merchant operator representative assistant shop cs 客服 坐席 卖家 商家 店员 人工客服 在线客服 店铺 kundendienst kundenservice mitarbeiter verkäufer berater 客服人员 座席 賣家 vendeur".split()
-SYSTEM = "system sys robot bot notice 系统 系统消息 系統 机器人 通知".split()
 #: Anything but white space, zero-width and control characters.
 VISIBLE = r"[^\s\p{Z}\p{Cc}\p{Cf}ᅟᅠ⠀ㅤ]"
 
@@ -38,15 +36,40 @@ TRANSITIONS = {
 ACCEPTED = ANSWERED
 
 
-def role(sender_type: Column) -> Column:
-    """'customer', 'service', 'system', or null for a type that is null, blank or not known."""
-    word = F.lower(strip(sender_type))
-    return F.when(word.isin(CUSTOMER), "customer").when(word.isin(SERVICE), "service").when(word.isin(SYSTEM), "system")
+LETTERS = "csu"
+#: Bits of the number of rows in a piece.
+CHUNK = 12
 
 
-def final_state(unknown: Column, customer: Column, last: Column) -> Column:
-    """State after a word, from its summary: any 'u', any 'c', last letter (null: empty word)."""
-    return F.when(unknown, BROKEN).when(last == "customer", ASKED).when(last.isNull(), START).when(customer, ANSWERED).otherwise(UNASKED)
+class Monoid:
+    """The maps of states that words bring about: elements, their products, and where START goes."""
+
+    def __init__(self, transitions: dict[str, dict[str, str]], start: str = START):
+        states = list(transitions)
+        self.letters = [tuple(transitions[s][x] for s in states) for x in LETTERS]
+        self.elements = [tuple(states)]
+        then = lambda f, g: tuple(g[states.index(s)] for s in f)
+        for e in self.elements:  # grows while new products are found
+            self.elements += [x for x in dict.fromkeys(then(e, g) for g in self.letters) if x not in self.elements]
+        number = {e: i for i, e in enumerate(self.elements)}
+        self.steps = [number[then(e, g)] for e in self.elements for g in self.letters]
+        self.products = [number[then(e, f)] for e in self.elements for f in self.elements]
+        self.final = [e[states.index(start)] for e in self.elements]
+
+    def _fold(self, numbers: Column, table: list[int], width: int) -> Column:
+        cells = F.array(*[F.lit(x) for x in table])
+        return F.aggregate(numbers, F.lit(0), lambda e, x: F.element_at(cells, e * width + x.cast("int") + 1))
+
+    def read(self, letters: Column) -> Column:
+        """Element of a word, an array of numbers of letters in order."""
+        return self._fold(letters, self.steps, len(LETTERS))
+
+    def multiply(self, elements: Column) -> Column:
+        """Product of an array of elements in order."""
+        return self._fold(elements, self.products, len(self.elements))
+
+    def state(self, element: Column) -> Column:
+        return F.element_at(F.array(*[F.lit(x) for x in self.final]), element + 1)
 
 
 def sequence(messages: DataFrame, stores: DataFrame) -> DataFrame:
@@ -100,15 +123,29 @@ def sequence(messages: DataFrame, stores: DataFrame) -> DataFrame:
     return rows.join(offsets, "_part").withColumn("seq", F.col("_start") + F.col("_id") - F.shiftleft("_part", 33)).drop("_part", "_id", "_start")
 
 
-def verdicts(rows: DataFrame) -> DataFrame:
-    """(session_id, first_seq, messages, state, whole): the automaton's state of each session;
-    whole is whether all places from 1 to n are there."""
+def verdicts(rows: DataFrame, transitions: dict[str, dict[str, str]] = TRANSITIONS) -> DataFrame:
+    """(session_id, first_seq, last_seq, messages, state, whole): the automaton's state of each
+    session; whole is whether all places from 1 to n are there."""
+    monoid = Monoid(transitions)
     kept = F.col("kept")
-    return rows.groupBy("session_id").agg(
+    letter = F.when(F.col("unknown"), 2).when(kept & (F.col("speaker") == "customer"), 0).when(kept, 1)
+    word = F.collect_list(F.when(letter.isNotNull(), F.shiftleft("seq", 2) + letter))  # at most 2^CHUNK numbers
+    pieces = rows.groupBy("session_id", F.shiftright("seq", CHUNK).alias("piece")).agg(
         F.min("seq").alias("first_seq"),
+        F.max("seq").alias("last_seq"),
         F.count_if(kept).alias("messages"),
-        final_state(F.coalesce(F.bool_or("unknown"), F.lit(False)), F.coalesce(F.bool_or(kept & (F.col("speaker") == "customer")), F.lit(False)), F.max_by(F.when(kept, F.col("speaker")), F.when(kept, F.col("seq")))).alias("state"),
-        (F.coalesce(F.min("input_order") == 1, F.lit(False)) & F.coalesce(F.max("input_order") == F.count("*"), F.lit(False))).alias("whole"),
+        F.min("input_order").alias("lo"),
+        F.max("input_order").alias("hi"),
+        F.count("*").alias("n"),
+        monoid.read(F.transform(F.array_sort(word), lambda x: x.bitwiseAND(F.lit(3)))).alias("element"),
+    )
+    run = F.array_sort(F.collect_list(F.struct("piece", "element")))  # one a piece
+    return pieces.groupBy("session_id").agg(
+        F.min("first_seq").alias("first_seq"),
+        F.max("last_seq").alias("last_seq"),
+        F.sum("messages").alias("messages"),
+        monoid.state(monoid.multiply(F.transform(run, lambda x: x["element"]))).alias("state"),
+        (F.coalesce(F.min("lo") == 1, F.lit(False)) & F.coalesce(F.max("hi") == F.sum("n"), F.lit(False))).alias("whole"),
     )
 
 
@@ -120,6 +157,7 @@ def conversations(messages: DataFrame, stores: DataFrame) -> DataFrame:
     go by message_id; unreadable times come last.  An empty table gives no rows.
     """
     rows = sequence(messages, stores)
-    good = verdicts(rows).where((F.col("state") == ACCEPTED) & F.col("whole")).select("session_id", "first_seq")
-    out = rows.where("kept").join(good, "session_id")
+    good = verdicts(rows).where((F.col("state") == ACCEPTED) & F.col("whole"))
+    good = good.select("session_id", "first_seq", F.explode(F.sequence(F.shiftright("first_seq", CHUNK), F.shiftright("last_seq", CHUNK))).alias("piece"))
+    out = rows.where("kept").withColumn("piece", F.shiftright("seq", CHUNK)).join(good, ["session_id", "piece"])
     return out.select("session_id", (F.col("seq") - F.col("first_seq") + 1).cast("int").alias("pos"), "message_id", "speaker")

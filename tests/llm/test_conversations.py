@@ -5,6 +5,9 @@ import re
 import unicodedata
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
+from colloquy.functions import roles
 from colloquy.llm import conversations as cv
 
 
@@ -23,7 +26,7 @@ def plain(rows, instants):
 
         def told(r):
             t = (r["sender_type"] or "").strip().lower()
-            return "customer" if t in cv.CUSTOMER else "service" if t in cv.SERVICE else "system" if t in cv.SYSTEM else None
+            return "customer" if t in roles.CUSTOMER else "service" if t in roles.SERVICE else "system" if t in roles.SYSTEM else None
 
         roles = {k: told(r) for k, r in places.items()}
         for k, r in places.items():
@@ -42,7 +45,7 @@ def plain(rows, instants):
 
 def test_test_table(spark):
     from colloquy.operators import timestamps
-    from pyspark.sql import functions as F
+
 
     d = "/root/testdata/sf0.001"
     m, s = spark.read.parquet(f"{d}/messages.parquet"), spark.read.parquet(f"{d}/stores.parquet")
@@ -62,10 +65,20 @@ def test_automaton_summary(spark):
             state = cv.TRANSITIONS[state][letter]
         return state
 
-    names = {"c": "customer", "s": "service"}
-    df = spark.createDataFrame([("".join(w), "u" in w, "c" in w, next((names[x] for x in reversed(w) if x in names), None)) for w in words], "word string, unknown boolean, customer boolean, last string")
-    for r in df.withColumn("state", cv.final_state(df.unknown, df.customer, df.last)).collect():
-        assert r.state == run(r.word), r
+    m = cv.Monoid(cv.TRANSITIONS)
+    df = spark.createDataFrame([("".join(w), [cv.LETTERS.index(x) for x in w], len(w) // 2) for w in words], "word string, letters array<int>, half int")
+    halves = [m.read(F.slice("letters", F.lit(1), F.col("half"))), m.read(F.slice("letters", F.col("half") + 1, F.lit(99)))]
+    for r in df.select("word", m.state(m.read(F.col("letters"))).alias("whole"), m.state(m.multiply(F.array(*halves))).alias("parts")).collect():
+        assert r.whole == r.parts == run(r.word), r
+
+
+def test_the_automaton_decides(spark):
+    """Another table of transitions gives other verdicts: here the last word may be the customer's."""
+    rows = spark.createDataFrame([("x", i, i + 1, who, True, False) for i, who in enumerate(["service", "customer"])], "session_id string, seq long, input_order int, speaker string, kept boolean, unknown boolean")
+    other = {s: dict(t) for s, t in cv.TRANSITIONS.items()}
+    other[cv.UNASKED]["c"] = cv.ANSWERED
+    assert cv.verdicts(rows).first().state == cv.ASKED
+    assert cv.verdicts(rows, other).first().state == cv.ACCEPTED
 
 
 SCHEMA = "message_id long, session_id string, external_store_id string, sender string, sender_type string, message_time string, message_content string, content_type string, source_file string, input_order int"
