@@ -7,7 +7,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from colloquy.functions import roles
+from colloquy.functions import roles as spelled
 from colloquy.llm import conversations as cv
 
 
@@ -26,7 +26,7 @@ def plain(rows, instants):
 
         def told(r):
             t = (r["sender_type"] or "").strip().lower()
-            return "customer" if t in roles.CUSTOMER else "service" if t in roles.SERVICE else "system" if t in roles.SYSTEM else None
+            return "customer" if t in spelled.CUSTOMER else "service" if t in spelled.SERVICE else "system" if t in spelled.SYSTEM else None
 
         roles = {k: told(r) for k, r in places.items()}
         for k, r in places.items():
