@@ -1,12 +1,18 @@
 """Personal data in free text: find it, replace it by typed placeholders.
 
 Method: a skip-chain conditional random field.  Its nodes are the spans of a text that any of the
-proposal patterns matches; a node's labels are 'O' and the types it was proposed for.  Unary
-potentials come from the span's shape and the words around it, chain edges join neighbours, and
-skip edges join spans of equal or similar text anywhere in the document, so that a name with its cue
-carries a mention without one.  Loopy message passing gives the marginals; a chain without skip
-edges is exact.  Weights are log-odds with the priors below; ``fit`` adapts them by expectation-
-maximisation on a bounded sample (``SAMPLE`` texts) of the corpus itself.
+proposal patterns matches, and further mentions of a proposed name or of a part of it; a node's labels
+are 'O' and the types it was proposed for.  Unary potentials come from the span's shape and the words
+around it, chain edges join neighbours, and skip edges join each span to the next one of equal or
+similar text (equal letters or digits, part of a name, number without its country code) however far
+away, so that a mention with its cue carries one without.  Loopy message passing gives the marginals;
+a chain without skip edges is exact.  Weights are log-odds with the priors below; ``fitted`` adapts
+them by expectation-maximisation on the graphs of all texts: what the unary potentials alone would
+say is drawn towards what the whole graph says.
+
+Scale: a text's proposals are found once and kept as its graph, a short text without the words; equal
+graphs are counted by a partial aggregate, and a round of the fit is a sum over the distinct ones, some
+thirty numbers a task.  Only those sums reach the driver.
 
 Order, parcel, ticket, contract and bar code numbers, hotlines, bare city names, staff nicknames and
 placeholders are no personal data.  Null, empty and blank texts have none.  A text without any
@@ -17,13 +23,15 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+
 TYPES = ("EMAIL", "PHONE", "IDENTITY_ID", "ADDRESS", "NAME")
-SAMPLE = 2000
 ROUNDS = 6
 
 # Common Chinese surnames, words before and after spans.
@@ -60,12 +68,18 @@ NAME_EN = re.compile(
 )
 PLACEHOLDER = {"EMAIL": "[EMAIL]", "PHONE": "[PHONE]", "IDENTITY_ID": "[IDENTITY_ID]", "ADDRESS": "[ADDRESS]", "NAME": "[NAME]"}
 
-#: Java pattern that every narrowed text with a proposal matches, with Unicode classes as in Python.
+_WIDE = "０-９Ａ-Ｚａ-ｚ"
+_SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_CUES = "name is|name[:：]|i am|this is|for|it to|addressed to|attn[:：]?|attention[:：]?|placed by|behalf of|regards[,，]|sincerely[,，]|signed[,，]|recipient[:：]?|für frau|für herrn|name ist|heiße"
+_STREETS = "straße|strasse|str|weg|gasse|platz|allee|ufer|ring|damm"
+#: Java pattern that every text with a proposal matches, in its own forms: the first class rejects
+#: most places of a text at once, and longer contexts are looked at from their last character.
 PREFILTER = (
-    r"(?:[0-9０-９][ ().\-/　（）－．／ ]{0,2}){6}|[零一二三四五六七八九幺〇两]{7}|[A-Z][0-9]{2}[A-Z][0-9]{4}|[A-Z]{2} ?[0-9]{2} ?[0-9]{2}|[@＠]|\(at\)|\[at\]| at [A-Za-z0-9-]+(?: dot |\.|\(dot\)| \.)"
-    r"|[路街巷道弄里园苑区坊庄府城湾邸邨寓村组屯][0-9０-９]+[号弄幢栋座组队]|\d{1,5}[A-Za-z]?(?:/\d+)? [A-Z]|(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|ring|damm)\.? ?\d|Box"
-    r"|我叫|我是|姓名|名字|收件人|收货人|联系人|寄给|签收的是|备注|户主|机主|本人|的那一单|的订单|女士|先生|小姐"
-    r"|(?i:name is|name:|i am|this is|for|it to|addressed to|attn:?|attention:?|placed by|behalf of|regards,|sincerely,|signed,|recipient:?|für frau|für herrn|name ist|heiße)[\s\x1c-\x1f]+[A-ZÀ-Þ]|(?:Mr|Mrs|Ms|Dr|Frau|Herr|Herrn)\.?[\s\x1c-\x1f]"
+    rf"(?=[\p{{Nd}}{_WIDE}＠@(（\[A-Z{_CN_DIGITS}路街巷道弄里园苑区坊庄府城湾邸邨寓村组屯我姓名收联寄签备户机本的女先小]|{_SPACE})(?:"
+    rf"[{_WIDE}＠\u3000\u00a0]|@|[(（\[]at[)）\]]|(?:[0-9][ ().\-/（）－．／]{{0,2}}){{6}}|[{_CN_DIGITS}]{{7}}|[A-Z][0-9]{{2}}[A-Z][0-9]{{4}}|[A-Z]{{2}} ?[0-9]{{2}} ?[0-9]{{2}}| at [A-Za-z0-9-]+(?: dot |\.|．|[(（]dot[)）])"
+    rf"|[路街巷道弄里园苑区坊庄府城湾邸邨寓村组屯][0-9]+[号弄幢栋座组队]|\p{{Nd}}{{1,5}}[A-Za-z]?(?:[/／]\p{{Nd}}+)? [A-Z]|\p{{Nd}}(?<=(?i:{_STREETS})[.．]? ?\p{{Nd}})|Box"
+    rf"|我叫|我是|姓名|名字|收件人|收货人|联系人|寄给|签收的是|备注|户主|机主|本人|的那一单|的订单|女士|先生|小姐"
+    rf"|{_SPACE}(?={_SPACE}*[A-ZÀ-Þ])(?<=(?iu:{_CUES}){_SPACE})|(?:Mr|Mrs|Ms|Dr|Frau|Herr|Herrn)[.．]?{_SPACE})"
 )
 
 _ID_CUE = re.compile(r"(?i)身份证|证件号?|护照|实名|清关|号码是|报一下|passport|national id|id card|id number|\bssn\b|social security|ausweis|reisepass|steuer-?id")
@@ -80,9 +94,11 @@ WEIGHTS = {
     "PHONE": {"bias": -3.0, "mobile": 5.0, "international": 5.0, "landline": 3.5, "area": 4.5, "local": 0.5, "cue": 3.0, "after": 2.0, "not": -9.0, "hotline": -12.0, "identity_cue": -1.5},
     "IDENTITY_ID": {"bias": -3.0, "birth18": 5.0, "birth15": 1.0, "ssn": 1.0, "passport": 0.5, "card": 1.5, "cue": 4.5, "not": -9.0, "phone_cue": -0.5},
     "ADDRESS": {"bias": 3.0},
-    "NAME": {"bias": -1.0, "cue": 3.5, "honorific": 1.0},
+    "NAME": {"bias": -1.0, "cue": 3.5, "part": 0.0},
 }
 CHAIN, SKIP = 0.3, 3.0
+#: Rounds of the fit, pseudo-counts of a weight, and length of a step.
+FITS, PRIOR, STEP = 3, 50.0, 4.0
 
 
 def _birth(digits: str) -> bool:
@@ -140,11 +156,26 @@ class Node:
     __slots__ = ("start", "end", "key", "features", "labels", "unary")
 
     def __init__(self, start: int, end: int, key: str, features: dict[str, list[str]]):
+        """key: equal for spans that a skip edge may join."""
         self.start, self.end, self.key, self.features = start, end, key, features
         self.labels = ["O", *features]
         self.unary: list[float] = []
 
 
+def _digits(span: str) -> str:
+    """Digits of a number without the country code of a mobile one."""
+    d = re.sub(r"\D", "", span.translate(_TO_DIGIT))
+    return d[2:] if len(d) == 13 and d.startswith("86") else d
+
+
+def _parts(name: str) -> list[str]:
+    """Parts by which a name may be mentioned again: words of three letters, or a given name of two signs."""
+    if name[0] >= "一":
+        given = name[2:] if re.match(COMPOUND, name) else name[1:]
+        return [given] if len(given) == 2 else []
+    return [w for w in re.split(r"[ -]", name) if len(w) >= 3]
+
+
 def nodes(text: str) -> list[Node]:
     """Proposed spans of a text (narrow forms), not overlapping, in order."""
     found: list[Node] = []
@@ -164,7 +195,7 @@ def nodes(text: str) -> list[Node]:
         for s, e in _numbers(m[0], m.start()):
             f = _number_features(text[s:e], text[max(0, s - 16) : s], text[e : e + 16]) if free(s, e) else None
             if f:
-                found.append(Node(s, e, re.sub(r"\D", "", text[s:e].translate(_TO_DIGIT)), f))
+                found.append(Node(s, e, _digits(text[s:e]), f))
     for m in ALNUM.finditer(text):
         if free(*m.span()):
             before = text[max(0, m.start() - 16) : m.start()]
@@ -177,57 +208,58 @@ def nodes(text: str) -> list[Node]:
             if free(*m.span(group)):
                 found.append(Node(*m.span(group), m[group], {"NAME": ["cue"]}))
                 names.add(m[group])
-    # Further mentions of a proposed name: nodes without cue, joined to the first by skip edges.
-    for name in names:
-        at = text.find(name)
-        while at >= 0:
-            if free(at, at + len(name)):
-                found.append(Node(at, at + len(name), name, {"NAME": []}))
-            at = text.find(name, at + len(name))
+    # Further mentions of a proposed name or its parts: without cue, but joined to it by skip edges.
+    for name in sorted(names):
+        for mention in (name, *_parts(name)):
+            for m in re.finditer(re.escape(mention) if name[0] >= "一" else rf"\b{re.escape(mention)}\b", text):
+                if free(*m.span()):
+                    found.append(Node(*m.span(), name, {"NAME": ["part"] if mention != name else []}))
     found.sort(key=lambda n: n.start)
     return found
 
 
-def marginals(graph: list[Node], weights: dict = WEIGHTS, rounds: int = ROUNDS) -> list[list[float]]:
+def marginals(graph: list[Node], weights: dict = WEIGHTS, rounds: int = ROUNDS, skip: float = SKIP) -> list[list[float]]:
     """Marginal probabilities of each node's labels by loopy message passing."""
     for n in graph:
         n.unary = [1.0] + [math.exp(weights[t].get("bias", 0.0) + sum(weights[t].get(f, 0.0) for f in fs)) for t, fs in n.features.items()]
-    edges: list[tuple[int, int, float]] = [(i, i + 1, CHAIN) for i in range(len(graph) - 1)]
+    # Neighbours of one key have one edge with both potentials.
+    edges = {(i, i + 1): CHAIN for i in range(len(graph) - 1)}
     by: dict[str, list[int]] = {}
     for i, n in enumerate(graph):
         by.setdefault(n.key, []).append(i)
-    # Equal spans are joined in a ring, so that their number of edges is their number.
+    # Each is joined to the next of its key only, so that edges are at most twice the nodes.
     for same in by.values():
-        edges += [(a, b, SKIP) for a, b in zip(same, same[1:])]
+        for a, b in zip(same, same[1:]):
+            edges[a, b] = edges.get((a, b), 0.0) + skip
     if len(edges) == 0:
         return [[u / sum(n.unary) for u in n.unary] for n in graph]
     message: dict[tuple[int, int], list[float]] = {}
-    near: dict[int, list[tuple[int, float]]] = {}
-    for a, b, w in edges:
+    near: dict[int, dict[int, float]] = {}
+    for (a, b), w in edges.items():
         for x, y in ((a, b), (b, a)):
-            near.setdefault(x, []).append((y, math.exp(w)))
+            near.setdefault(x, {})[y] = math.exp(w)
             message[x, y] = [1.0] * len(graph[y].labels)
     for _ in range(rounds):
         for (x, y), old in message.items():
             into = list(graph[x].unary)
-            for z, _w in near[x]:
+            for z in near[x]:
                 if z != y:
                     into = [p * q for p, q in zip(into, message[z, x])]
-            w = next(v for k, v in near[x] if k == y)
+            w = near[x][y]
             out = [sum(p * (w if lx == ly else 1.0) for p, lx in zip(into, graph[x].labels)) for ly in graph[y].labels]
             total = sum(out)
             old[:] = [v / total for v in out]
     result = []
     for i, n in enumerate(graph):
         p = list(n.unary)
-        for z, _w in near.get(i, ()):
+        for z in near.get(i, ()):
             p = [a * b for a, b in zip(p, message[z, i])]
         total = sum(p)
         result.append([v / total for v in p])
     return result
 
 
-def label(text: str | None, weights: dict = WEIGHTS) -> list[tuple[int, int, str]]:
+def label(text: str | None, weights: dict = WEIGHTS, skip: float = SKIP) -> list[tuple[int, int, str]]:
     """(start, end, type) of the personal data of a text, in order."""
     if not text:
         return []
@@ -235,16 +267,16 @@ def label(text: str | None, weights: dict = WEIGHTS) -> list[tuple[int, int, str
     if not graph:
         return []
     out = []
-    for n, p in zip(graph, marginals(graph, weights)):
+    for n, p in zip(graph, marginals(graph, weights, skip=skip)):
         best = max(range(len(p)), key=p.__getitem__)
         if best:
             out.append((n.start, n.end, n.labels[best]))
     return out
 
 
-def mask(text: str | None, weights: dict = WEIGHTS) -> tuple[str | None, list[str]]:
+def mask(text: str | None, weights: dict = WEIGHTS, skip: float = SKIP) -> tuple[str | None, list[str]]:
     """(text with typed placeholders, sorted types found)."""
-    found = label(text, weights)
+    found = label(text, weights, skip)
     if not found:
         return text, []
     parts, at = [], 0
@@ -254,24 +286,50 @@ def mask(text: str | None, weights: dict = WEIGHTS) -> tuple[str | None, list[st
     return "".join([*parts, text[at:]]), sorted({t for _, _, t in found})
 
 
-def fit(texts: list[str], rounds: int = 3, prior: float = 50.0) -> dict:
-    """Weights adapted to a sample: expected labels from the present weights, then a damped step of
-    each weight towards the log-odds of its feature, with ``prior`` pseudo-counts at the given one."""
-    weights = {t: dict(w) for t, w in WEIGHTS.items()}
-    graphs = [g for t in texts if t and (g := nodes(t.translate(_NARROW)))]
-    for _ in range(rounds):
-        got: dict[tuple[str, str], list[float]] = {}
-        for g in graphs:
-            for n, p in zip(g, marginals(g, weights)):
-                for k, (t, fs) in enumerate(n.features.items(), 1):
-                    score = weights[t].get("bias", 0.0) + sum(weights[t].get(f, 0.0) for f in fs)
-                    gap = p[k] - 1 / (1 + math.exp(-max(-30.0, min(30.0, score))))
-                    for f in ("bias", *fs):
-                        s = got.setdefault((t, f), [0.0, 0.0])
-                        s[0] += gap
-                        s[1] += 1
-        for (t, f), (gap, n) in got.items():
-            weights[t][f] = weights[t].get(f, 0.0) + gap / (prior + n) * 4
+def encode(graph: list[Node]) -> str:
+    """A graph as a text of keys' numbers, labels and features: what ``marginals`` depends on."""
+    key: dict[str, int] = {}
+    return ";".join("|".join([str(key.setdefault(n.key, len(key))), *[f"{t}:{','.join(f)}" for t, f in n.features.items()]]) for n in graph)
+
+
+def decode(code: str) -> list[Node]:
+    out = []
+    for i, part in enumerate(code.split(";")):
+        key, *labels = part.split("|")
+        out.append(Node(i, i + 1, key, {t: f.split(",") if f else [] for t, f in (x.split(":") for x in labels)}))
+    return out
+
+
+def expected(code: str, n: int, weights: dict, into: dict[tuple[str, str], list[float]]) -> None:
+    """Add (marginal minus unary probability, number) of each feature over n texts of this graph."""
+    graph = decode(code)
+    for node, p in zip(graph, marginals(graph, weights)):
+        for k, (t, fs) in enumerate(node.features.items(), 1):
+            score = weights[t].get("bias", 0.0) + sum(weights[t].get(f, 0.0) for f in fs)
+            gap = p[k] - 1 / (1 + math.exp(-max(-30.0, min(30.0, score))))
+            for f in ("bias", *fs):
+                s = into.setdefault((t, f), [0.0, 0.0])
+                s[0] += gap * n
+                s[1] += n
+
+
+def adapted(weights: dict, sums: dict[tuple[str, str], list[float]], prior: float = PRIOR) -> dict:
+    """A damped step of each weight, with ``prior`` pseudo-counts at the present one."""
+    out = {t: dict(w) for t, w in weights.items()}
+    for (t, f), (gap, n) in sums.items():
+        out[t][f] = out[t].get(f, 0.0) + gap / (prior + n) * STEP
+    return out
+
+
+def fit(texts: list[str]) -> dict:
+    """``fitted`` for a list of texts."""
+    codes = Counter(encode(g) for t in texts if t and (g := nodes(t.translate(_NARROW))))
+    weights = WEIGHTS
+    for _ in range(FITS):
+        sums: dict[tuple[str, str], list[float]] = {}
+        for code, n in codes.items():
+            expected(code, n, weights, sums)
+        weights = adapted(weights, sums)
     return weights
 
 
@@ -284,25 +342,58 @@ def texts(messages: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def _proposing(text: Column) -> Column:
-    """Does the prefilter match the text in the narrow forms that ``label`` reads?"""
-    return F.translate(text, "".join(map(chr, _NARROW)), "".join(map(chr, _NARROW.values()))).rlike("(?U)" + PREFILTER)
+    return text.rlike(PREFILTER)
+
+
+def proposals(df: DataFrame) -> DataFrame:
+    """(record_kind, record_key, field_name, graph) of each text with a proposal, in the shared folder."""
+
+    def work(batches):
+        for pdf in batches:
+            keep = [(k, r, f, encode(g)) for k, r, f, x in zip(pdf["record_kind"], pdf["record_key"], pdf["field_name"], pdf["text"]) if (g := nodes(x.translate(_NARROW)))]
+            yield pd.DataFrame(keep, columns=["record_kind", "record_key", "field_name", "graph"])
+
+    return materialize(df.where(_proposing(F.col("text"))).mapInPandas(work, "record_kind string, record_key string, field_name string, graph string"))
 
 
-def fitted(df: DataFrame, sample: int = SAMPLE) -> dict:
-    """Weights adapted on the ``sample`` texts with proposals of least hash: a bounded sample."""
-    rows = df.where(_proposing(F.col("text"))).select("text", F.xxhash64("record_key", "field_name").alias("h")).orderBy("h", "text").limit(sample).collect()
-    return fit([r["text"] for r in rows])
+def fitted(graphs: DataFrame) -> dict:
+    """Weights adapted to the graphs of all texts."""
+    distinct = materialize(graphs.groupBy("graph").agg(F.count("*").alias("n")))
+    weights = WEIGHTS
+    for _ in range(FITS):
+
+        def work(batches, weights=weights):
+            sums: dict[tuple[str, str], list[float]] = {}
+            for pdf in batches:
+                for code, n in zip(pdf["graph"], pdf["n"]):
+                    expected(code, n, weights, sums)
+            yield pd.DataFrame([(t, f, *s) for (t, f), s in sums.items()], columns=["type", "feature", "gap", "n"])
+
+        rows = distinct.mapInPandas(work, "type string, feature string, gap double, n double").groupBy("type", "feature").agg(F.sum("gap").alias("gap"), F.sum("n").alias("n")).orderBy("type", "feature").collect()  # one a feature
+        weights = adapted(weights, {(r["type"], r["feature"]): [r["gap"], r["n"]] for r in rows})
+    return weights
 
 
-def found(df: DataFrame, weights: dict = WEIGHTS) -> DataFrame:
+def found(graphs: DataFrame, weights: dict = WEIGHTS) -> DataFrame:
     """(record_kind, record_key, field_name, pii_type): one row for each type in a text."""
 
     def work(batches):
+        known: dict[str, list[str]] = {}
         for pdf in batches:
-            keep = [(k, r, f, t) for k, r, f, x in zip(pdf["record_kind"], pdf["record_key"], pdf["field_name"], pdf["text"]) for t in sorted({t for _, _, t in label(x, weights)})]
+            keep = []
+            for k, r, f, code in zip(pdf["record_kind"], pdf["record_key"], pdf["field_name"], pdf["graph"]):
+                types = known.get(code)
+                if types is None:
+                    graph = decode(code)
+                    best = [(n, max(range(len(p)), key=p.__getitem__)) for n, p in zip(graph, marginals(graph, weights))]
+                    types = sorted({n.labels[b] for n, b in best if b})
+                    if len(known) >= 100_000:
+                        known.clear()
+                    known[code] = types
+                keep += [(k, r, f, t) for t in types]
             yield pd.DataFrame(keep, columns=["record_kind", "record_key", "field_name", "pii_type"])
 
-    return df.where(_proposing(F.col("text"))).mapInPandas(work, "record_kind string, record_key string, field_name string, pii_type string")
+    return graphs.mapInPandas(work, "record_kind string, record_key string, field_name string, pii_type string")
 
 
 def masked(df: DataFrame, weights: dict = WEIGHTS) -> DataFrame:

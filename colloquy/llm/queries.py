@@ -45,14 +45,14 @@ def p3_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    df = personal.texts(table(spark, d, "messages"), table(spark, d, "external_candidates"))
-    return personal.found(df, personal.fitted(df))
+    graphs = personal.proposals(personal.texts(table(spark, d, "messages"), table(spark, d, "external_candidates")))
+    return personal.found(graphs, personal.fitted(graphs))
 
 
 def p5_masked(spark: SparkSession, d: str) -> DataFrame:
     """Every text with typed placeholders."""
     df = personal.texts(table(spark, d, "messages"), table(spark, d, "external_candidates"))
-    return personal.masked(df, personal.fitted(df))
+    return personal.masked(df, personal.fitted(personal.proposals(df)))
 
 
 def _near(spark: SparkSession, d: str) -> neardup.NearDuplicates:
