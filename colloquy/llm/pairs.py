@@ -3,14 +3,16 @@
 Method: several noisy labelling functions vote on every defect; a label model fitted by expectation-
 maximisation on the counts of vote patterns (a few rows, however large the corpus) estimates how
 often each function votes on defective and on sound pairs, and gives a posterior for each pattern.
-A pair gets every defect whose posterior exceeds the defect's cutoff; ``p3_found`` keeps the first
-in the order of ``DEFECTS``, as a pair there has one at most.
+The rates come out of the data: the first guesses only tell the fit where to begin.  A pair gets
+every defect whose posterior exceeds the defect's cutoff, which is validated on held-out halves;
+``p3_found`` keeps the first in the order of ``DEFECTS``, as a pair there has one at most.
 
 For 'truncated_answer' one function is a statistic of the whole corpus: how often the last
 characters of the answer stand at the end of a sentence elsewhere, against inside of one.
 
 Defined results: null or blank answers are 'empty_answer'; a null question takes part in no
-comparison; rows without id are left out; very long texts are read whole.
+comparison; rows without id are left out; very long texts are read whole; an empty table has no
+defects.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ DEFECTS = ("empty_answer", "copied_question", "refusal", "other_language", "trun
 
 # Words for "none", pleasantries, refusals, words that can't end a sentence, stop words.
 NONE = frozenset("无 没有 暂无 没 空 无内容 无回复 未回复 暂缺 none null nil na n/a nan nothing empty keine keiner nichts leer".split())
+LONGEST_NONE = max(map(len, NONE))
 CODE = re.compile(r"#E-?[a-z]?\d+|\[[^\[\]]{1,12}\]|【(?:图片|表情|视频|语音)】|<(?:img|image|emoji)[^<>]*>|/::\S{1,3}|[:;]-?[)(DPp]")
 LETTERS = re.compile(r"[^\W_]+")
 GREETING = re.compile(
@@ -53,6 +56,8 @@ DANGLING = re.compile(
     r"|(?:^|\s)(?:and|or|but|so|if|the|a|an|of|to|with|for|in|on|at|by|from|as|which|when|while|we|you|your|our|is|are|will|can|und|oder|aber|dass|wenn|der|die|das|ein|eine|mit|für|von|zu|in|an|auf|bei|ist|sind)$",
     re.I,
 )
+END_SIGHT = 64
+_WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 #: What is left of a word or a code that was cut off right after it began.
 STUB = re.compile(r"(?:(?:^|\s|[一-鿿])[A-Z]|(?<=[。！？；!?;])[^\W\d_呢哦哈啊呀嘛亲]{1,3}|(?<=\w\. )[A-Za-z]{1,2})$")
 OPEN_MARK = re.compile(r"(?:[:：、，,（(【《“「\-—]|\d+[、)）])\s*$")
@@ -93,7 +98,6 @@ FUNCTIONS = {
     "other_language": (("script", 0.5, 0.001), ("words", 0.6, 0.003), ("language", 0.97, 0.004)),
     "truncated_answer": (("ellipsis", 0.2, 0.0003), ("open_mark", 0.2, 0.0003), ("dangling", 0.2, 0.003), ("rare_end", 0.8, 0.003), ("no_stop", 0.95, 0.3), ("connective", 0.2, 0.00005), ("stub", 0.08, 0.0001)),
 }
-CUTOFF = {"empty_answer": 0.5, "copied_question": 0.5, "refusal": 0.5, "other_language": 0.5, "truncated_answer": 0.5}
 #: Length of the tail looked up, in characters: with Chinese ones at the end, and else.
 TAIL_HAN, TAIL_LATIN = 3, 7
 RARE, SEEN = 0.08, 4
@@ -123,9 +127,14 @@ def language(text: str) -> tuple[str | None, str | None, float]:
     return best, "latin", top / len(words)
 
 
+def uncoded(text: str) -> str:
+    """A text with a space for each code; most have none of their first characters."""
+    return CODE.sub(" ", text) if any(c in text for c in "#[【</:;") else text
+
+
 def core(text: str) -> str:
     """Letters and digits of a text without codes and pleasantries, in lower case."""
-    parts = [p for p in CLAUSE.split(CODE.sub(" ", text)) if not GREETING.match(p.strip())]
+    parts = [p for p in CLAUSE.split(uncoded(text)) if not GREETING.match(p.strip())]
     return "".join(LETTERS.findall(" ".join(parts))).lower()
 
 
@@ -164,6 +173,13 @@ def endings(texts) -> tuple[Counter, Counter]:
                 continue
             last[_gram(part)] += 1
             low = part.lower()
+            # Parts of one script go quicker.
+            if low.isascii():
+                inner.update([low[i - TAIL_LATIN : i] for i in range(TAIL_LATIN, len(part))])
+                continue
+            if min(part) >= "⺀":
+                inner.update([part[i - TAIL_HAN : i] for i in range(TAIL_HAN, len(part))])
+                continue
             for i in range(TAIL_HAN, len(part)):
                 if part[i - 1] >= "⺀" or part[i - 2] >= "⺀":
                     inner[part[i - TAIL_HAN : i]] += 1
@@ -175,9 +191,10 @@ def endings(texts) -> tuple[Counter, Counter]:
 def votes(question: str | None, answer: str | None) -> dict[str, int]:
     """Votes of all functions but 'rare_end', as bits in the order of ``FUNCTIONS``; and the tail."""
     a = answer or ""
-    bare = CODE.sub(" ", a)
+    bare = uncoded(a)
     letters = "".join(LETTERS.findall(bare))
-    word = re.sub(r"[\s（()）\[\]。.，,!！?？~～\-_]+", "", bare).lower()
+    # A longer one can't be a word for "none".
+    word = re.sub(r"[\s（()）\[\]。.，,!！?？~～\-_]+", "", bare).lower() if len(letters) <= LONGEST_NONE else ""
     none = word in NONE or word.replace("/", "") in NONE
     out = {"empty_answer": (not letters) | none << 1 | (len(letters) <= 3 and not re.search(r"\d", letters) or none) << 2}
     q, c = core(question or ""), core(a)
@@ -206,8 +223,10 @@ def votes(question: str | None, answer: str | None) -> dict[str, int]:
         words = qs == "latin" and ascript == "latin" and ql is not None and al is not None and ql != al
         other = script | words << 1 | (script or words) << 2
     out["other_language"] = other
-    t = re.sub(r"[\s~～]+$", "", CODE.sub("", a))
-    bareend = re.sub(r"[\s。.!！?？~～…;；，,、:：]+$", "", t)
+    t = CODE.sub("", a).rstrip(_WHITE + "~～") if bare is not a else a.rstrip(_WHITE + "~～")
+    # Whatever these patterns match at the end is shorter than END_SIGHT.
+    bareend = t.rstrip(_WHITE + "。.!！?？~～…;；，,、:：")[-END_SIGHT:]
+    t = t[-END_SIGHT:]
     out["truncated_answer"] = (
         (ELLIPSIS.search(t) is not None and len(letters) > 3)
         | (OPEN_MARK.search(t) is not None) << 1
@@ -219,12 +238,11 @@ def votes(question: str | None, answer: str | None) -> dict[str, int]:
     return {k: int(v) for k, v in out.items()}
 
 
-def fit(patterns: dict[int, int], first: tuple, rounds: int = 40, strength: float = 0.02, sound: float = 1.0) -> tuple[dict[int, float], list]:
+def fit(patterns: dict[int, int], first: tuple, rounds: int = 60, strength: float = 0.001, sound: float = 0.01) -> tuple[dict[int, float], list]:
     """EM of one defect: (posterior of each vote pattern, [(P(vote | defect), P(vote | sound))]).
 
-    patterns: counts by the bits of the votes.  The first guesses weigh as ``strength`` of all rows
-    for the defective and as ``sound`` of them for the sound pairs, so that a function stays what it
-    was written for.
+    patterns: counts by the bits of the votes.  The first guesses are where the fit begins, and weigh
+    no more than ``strength`` of all rows for the defective and ``sound`` of them for the sound pairs.
     """
     keys = np.array(sorted(patterns), dtype=np.int64)
     n = np.array([patterns[k] for k in keys], dtype=float)
@@ -246,7 +264,7 @@ def fit(patterns: dict[int, int], first: tuple, rounds: int = 40, strength: floa
 
 def ending_statistics(answers: DataFrame) -> DataFrame:
     """(tail, ends, inside, row_ends, row_inside) over the distinct answers, and with each weighted by
-    its copies; each task sums its rows before the shuffle.
+    its copies; a batch of rows is summed before the shuffle.
 
     Answers alike but for numbers, case, spaces and closing marks are copies: among the distinct ones
     they can't vouch for each other's ending.
@@ -295,25 +313,67 @@ def label_votes(pairs: DataFrame) -> DataFrame:
     return voted.withColumn("truncated_answer", bits.cast("int")).drop("tail", "ends", "inside", "row_ends", "row_inside")
 
 
-def posteriors(voted: DataFrame) -> dict[str, dict[int, float]]:
-    """Posterior of each vote pattern of each defect; the counts are at most 128 rows a defect."""
+def posterior(bits: int, rates: list, share: float) -> float:
+    """Posterior of a vote pattern, also of one that the fit has not seen."""
+    y, n = share, 1 - share
+    for i, (yes, no) in enumerate(rates):
+        y, n = (y * yes, n * no) if bits >> i & 1 else (y * (1 - yes), n * (1 - no))
+    return y / (y + n)
+
+
+def best_cutoff(counts: dict[int, int], post: dict[int, float]) -> float:
+    """Cutoff of the best expected F1 over patterns with these posteriors; 0.5 where there are none."""
+    order = sorted((b for b in counts if b in post), key=lambda b: -post[b])
+    total = sum(counts[b] * post[b] for b in order)
+    best, hit, taken, out = 0.0, 0.0, 0, 0.5
+    for b, nxt in zip(order, [*order[1:], None]):
+        hit, taken = hit + counts[b] * post[b], taken + counts[b]
+        f1 = 2 * hit / (taken + total) if taken + total else 0.0
+        if f1 > best:
+            # Half way to the next pattern.
+            best, out = f1, (post[b] + (post[nxt] if nxt is not None else 0.0)) / 2
+    return min(0.95, max(0.05, out))
+
+
+def vote_counts(voted: DataFrame) -> dict[str, list[dict[int, int]]]:
+    """Counts of each vote pattern of each defect in two halves of the pairs: at most 256 rows a defect."""
     cell = [F.struct(F.lit(d).alias("defect"), F.col(d).alias("bits")) for d in DEFECTS]
-    rows = voted.select(F.inline(F.array(*cell))).groupBy("defect", "bits").agg(F.count("*").alias("n")).collect()
-    out = {}
-    for d in DEFECTS:
-        counts = {r["bits"]: r["n"] for r in rows if r["defect"] == d}
-        out[d] = fit(counts, FUNCTIONS[d])[0] if counts else {}
+    rows = voted.select(F.pmod(F.xxhash64("id"), F.lit(2)).alias("half"), F.inline(F.array(*cell))).groupBy("defect", "half", "bits").agg(F.count("*").alias("n")).collect()
+    out: dict[str, list[dict[int, int]]] = {d: [{}, {}] for d in DEFECTS}
+    for r in rows:
+        out[r["defect"]][r["half"]][r["bits"]] = r["n"]
     return out
 
 
-def defects(voted: DataFrame, cutoffs: dict[str, float] = CUTOFF) -> DataFrame:
+class LabelModel:
+    """post: posterior by defect and vote pattern; cutoffs: by defect, validated; rates: of each function.
+
+    A cutoff is chosen on one half of the pairs by the model fitted on the other, both ways, and
+    averaged: so a pattern that only one half makes a defect doesn't set it.
+    """
+
+    def __init__(self, counts: dict[str, list[dict[int, int]]]):
+        self.post, self.cutoffs, self.rates = {}, {}, {}
+        for d, halves in counts.items():
+            whole = {b: halves[0].get(b, 0) + halves[1].get(b, 0) for b in {*halves[0], *halves[1]}}
+            self.post[d], self.rates[d] = fit(whole, FUNCTIONS[d]) if whole else ({}, [])
+            cuts = []
+            for own, other in (halves, halves[::-1]):
+                if own and other:
+                    post, rates = fit(own, FUNCTIONS[d])
+                    share = sum(own[b] * post[b] for b in own) / sum(own.values())
+                    cuts.append(best_cutoff(other, {b: posterior(b, rates, min(max(share, 1e-6), 1 - 1e-6)) for b in other}))
+            self.cutoffs[d] = sum(cuts) / len(cuts) if cuts else 0.5
+
+
+def defects(voted: DataFrame) -> DataFrame:
     """(id, defects ARRAY<STRING>, posteriors ARRAY<DOUBLE>): all defects beyond their cutoffs."""
-    post = posteriors(voted)
+    model = LabelModel(vote_counts(voted))
     columns = []
     for d in DEFECTS:
         value = F.lit(0.0)
-        for bits, p in post[d].items():
+        for bits, p in model.post[d].items():
             value = F.when(F.col(d) == bits, p).otherwise(value)
-        columns.append(F.struct(F.lit(d).alias("defect"), value.alias("p"), F.lit(cutoffs[d]).alias("cutoff")))
+        columns.append(F.struct(F.lit(d).alias("defect"), value.alias("p"), F.lit(model.cutoffs[d]).alias("cutoff")))
     hit = F.filter(F.array(*columns), lambda x: x["p"] >= x["cutoff"])
     return voted.select("id", hit.alias("hit")).where(F.size("hit") > 0).select("id", F.col("hit.defect").alias("defects"), F.col("hit.p").alias("posteriors"))

@@ -42,7 +42,22 @@ def test_label_model_learns():
     post, rates = P.fit(counts, (("a", 0.6, 0.05), ("b", 0.6, 0.05), ("c", 0.6, 0.05)))
     assert post[7] > 0.9 > 0.1 > post[0] and post[7] >= post[3] >= post[1]
     assert all(y > n for y, n in rates)
-    assert P.posteriors  # an empty table has no patterns
+
+
+def test_the_fit_decides():
+    """Rates far from the data give way: without the fit they would call other patterns defective."""
+    counts = {0: 9000, 1: 30, 2: 2500, 4: 40, 5: 400, 7: 420}
+    good, bad = [P.fit(counts, tuple((n, y, z) for n, (y, z) in zip("abc", rates)))[0] for rates in (((0.9, 0.01), (0.5, 0.2), (0.9, 0.01)), ((0.5, 0.1), (0.5, 0.1), (0.5, 0.1)))]
+    defective = lambda post: {b for b in post if post[b] >= 0.5}
+    assert defective(good) == defective(bad) == {5, 7}
+    unfitted = {b: P.posterior(b, [(0.5, 0.1)] * 3, 0.02) for b in counts}
+    assert defective(unfitted) != defective(bad)
+
+
+def test_cutoffs_are_validated():
+    model = P.LabelModel({"empty_answer": [{0: 900, 5: 50, 6: 20}, {0: 900, 5: 50, 6: 20}], "refusal": [{}, {}]})
+    assert 0.05 <= model.cutoffs["empty_answer"] <= 0.95 and model.cutoffs["refusal"] == 0.5
+    assert P.best_cutoff({0: 90, 1: 10}, {0: 0.1, 1: 0.8}) == pytest.approx(0.45)
 
 
 def test_empty(spark):
