@@ -64,10 +64,15 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_classes(spark: SparkSession, d: str) -> DataFrame:
-    """One row a record: its class of equal text and the links of the class."""
+    """One row a record: its class of equal text, the links of the class and its cluster."""
     return _near(spark, d).classes()
 
 
+def p7_links(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of class representatives with their similarity."""
+    return _near(spark, d).class_pairs().withColumn("similarity", F.round("similarity", 9))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.ids(table(spark, d, "documents"))
 
@@ -112,6 +117,7 @@ QUERIES = {
     "p5_masked": p5_masked,
     "p7_found": p7_found,
     "p7_classes": p7_classes,
+    "p7_links": p7_links,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,

@@ -3,13 +3,21 @@
 import random
 
 import numpy as np
+import regex
 from pyspark.sql import functions as F
 
 from colloquy.llm import neardup as N
 
 
+DROP = regex.compile(r"[^\p{L}\p{N}]+")
+
+
+def plain(question, answer):
+    return DROP.sub("", ((question or "") + (answer or "")).lower())
+
+
 def brute(rows, least):
-    p = {i: N.pieces(N.normalize(q, a)) for i, q, a in rows if i is not None}
+    p = {i: N.pieces(plain(q, a)) for i, q, a in rows if i is not None}
     ids = sorted(i for i in p if p[i])
     return {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(p[a] & p[b]) >= least * len(p[a] | p[b])}
 
@@ -38,8 +46,29 @@ def test_edits_copies_nulls_and_short_texts(spark):
     assert len(got) == len(set(got))
     assert set(got) <= want
     assert len(want - set(got)) <= 0.002 * len(want)
-    links = {r.id: r.links for r in near.classes().collect()}
-    assert "c0" in links and "s1" not in links
+    classes = {r.id: r for r in near.classes().collect()}
+    assert set(classes) == {i for i, _, _ in rows if i is not None}
+    assert classes["s1"].links == 0 and classes["s2"].rep == classes["s1"].rep == classes["s1"].cluster and classes["n2"].rep == "n1"
+    assert classes["c4"].rep == "c0"
+    # Clusters are the components of the pairs.
+    parent = {i: i for i in classes}
+
+    def find(i):
+        return i if parent[i] == i else find(parent[i])
+
+    for a, b in sorted({*got, *[(r.rep, r.id) for r in classes.values()]}):
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    assert all(r.cluster == find(i) for i, r in classes.items())
+    pairs = [tuple(r)[:2] for r in near.class_pairs().collect()]
+    assert set(pairs) <= want and len(pairs) == len(set(pairs))
+
+
+def test_normalize_equals_plain(spark):
+    rows = [("İstanbul ΑΣ", "Größe ４２!"), (None, "A-b"), ("", None), (None, None), ("½ Ⅷ ①", "ﬁ ǅ"), ("สวัสดี", "e\u0301")]
+    df = spark.createDataFrame(rows, "q string, a string").select("q", "a", N.normalize(F.col("q"), F.col("a")).alias("n"))
+    for r in df.collect():
+        assert r.n == plain(r.q, r.a), r
 
 
 def test_sample_table(spark):
