@@ -32,35 +32,46 @@ NONE = frozenset("无 没有 暂无 没 空 无内容 无回复 未回复 暂缺
 LONGEST_NONE = max(map(len, NONE))
 CODE = re.compile(r"#E-?[a-z]?\d+|\[[^\[\]]{1,12}\]|【(?:图片|表情|视频|语音)】|<(?:img|image|emoji)[^<>]*>|/::\S{1,3}|[:;]-?[)(DPp]")
 LETTERS = re.compile(r"[^\W_]+")
-GREETING = re.compile(
-    r"^(?:亲爱的顾客|亲亲|亲|您好|你好|在的亲|在的|嗨|抱歉让您久等|让您久等了|收到您的问题|感谢咨询|感谢您的咨询|不好意思刚看到|感谢理解|祝您生活愉快|还请您留意|辛苦您稍等|有其他问题随时联系|谢谢亲|谢谢|哈哈|好的|"
-    r"hi|hi there|hello|hello there|hi again|hey|dear customer|good question|thanks for (?:waiting|writing|asking)|thank you|thanks|sorry for the delay|have a nice day|we are happy to help|let us know if anything is unclear|regards|"
-    r"guten tag|hallo|vielen dank|danke|gerne|mit freundlichen grüßen)$",
-    re.I,
+GREETING = frozenset(
+    (
+        "亲爱的顾客|亲亲|亲|您好|你好|在的亲|在的|嗨|抱歉让您久等|让您久等了|收到您的问题|感谢咨询|感谢您的咨询|不好意思刚看到|感谢理解|祝您生活愉快|还请您留意|辛苦您稍等|有其他问题随时联系|谢谢亲|谢谢|哈哈|好的|"
+        "hi|hi there|hello|hello there|hi again|hey|dear customer|good question|thanks for waiting|thanks for writing|thanks for asking|thank you|thanks|sorry for the delay|have a nice day|we are happy to help|let us know if anything is unclear|regards|"
+        "guten tag|hallo|vielen dank|danke|gerne|mit freundlichen grüßen"
+    ).split("|")
 )
-REFUSAL = re.compile(
+REFUSAL_HAN = re.compile(
     r"(?:无法|不能|没有?办法|没法|没有权限|无权|不便|不方便|恕不|不予|暂不|不可以|难以|不给予|拒绝).{0,10}(?:回答|答复|回复|解答|解释|协助|帮助|帮您|帮到|提供|说明|评论|发表|受理|处理|讨论|透露|告知|回应|意见)"
     r"|答不了|帮不上忙|帮不了|回答不了|解答不了|回复不了|超出.{0,8}(?:范围|能力|权限)|不予解答|暂不受理|无可奉告|不清楚这个|我不知道"
-    r"|(?:can(?:no|')t|cannot|can not|won't be able to|unable to|not able to|not allowed to|not permitted to|may not|decline to|refuse to).{0,30}(?:answer|help|assist|comment|discuss|respond|provide|share|say|advise)"
+)
+#: For lower case.
+REFUSAL_LATIN = re.compile(
+    r"(?:can(?:no|')t|cannot|can not|won't be able to|unable to|not able to|not allowed to|not permitted to|may not|decline to|refuse to).{0,30}(?:answer|help|assist|comment|discuss|respond|provide|share|say|advise)"
     r"|outside (?:of )?(?:what|my|our)|beyond (?:what|my|our)|not something (?:i|we) can|i don't know|no comment"
     r"|(?:kann|können|darf|dürfen|möchte).{0,40}(?:nicht|keine|leider).{0,30}(?:beantworten|helfen|auskunft|äußern|antworten|sagen|geben|weiterhelfen|kommentieren|mitteilen)|leider.{0,40}(?:nicht helfen|keine auskunft)|außerhalb",
-    re.I,
-)
-CONNECTIVE = re.compile(
-    r"(?:因为|所以|但是|而且|以及|并且|或者|另外还要|比如|例如|包括|由于|虽然|其中|以便|为了|分别是|步骤如下|如下)$"
-    r"|[\s,](?:because|because the|so if you|if you|as well as|such as|as follows|for example|in order to|and the|or the|weil|sodass|damit|sowie|zum beispiel|und zwar|wie folgt)$",
-    re.I,
-)
-DANGLING = re.compile(
-    r"(?:但|如果|另外|还有|不过|同时|然后|首先|建议您?先?|需要|可以先|的话就?)$"
-    r"|(?:^|\s)(?:and|or|but|so|if|the|a|an|of|to|with|for|in|on|at|by|from|as|which|when|while|we|you|your|our|is|are|will|can|und|oder|aber|dass|wenn|der|die|das|ein|eine|mit|für|von|zu|in|an|auf|bei|ist|sind)$",
-    re.I,
 )
+
+
+def ends_on(low: str, han: tuple[str, ...], latin: tuple[str, ...], before: str) -> bool:
+    """Is the end of a text in lower case one of ``han``, or of ``latin`` after a sign of ``before``?"""
+    if low.endswith(han):
+        return True
+    return low.endswith(latin) and any(low.endswith(w) and (low[-len(w) - 1 : -len(w)] or "^") in before for w in latin)
+
+
+def declines(text: str) -> bool:
+    return REFUSAL_HAN.search(text) is not None or REFUSAL_LATIN.search(text.lower()) is not None
+
+
+CONNECTIVE_HAN = tuple("因为 所以 但是 而且 以及 并且 或者 另外还要 比如 例如 包括 由于 虽然 其中 以便 为了 分别是 步骤如下 如下".split())
+CONNECTIVE_LATIN = ("because", "because the", "so if you", "if you", "as well as", "such as", "as follows", "for example", "in order to", "and the", "or the", "weil", "sodass", "damit", "sowie", "zum beispiel", "und zwar", "wie folgt")
+DANGLING_HAN = tuple("但 如果 另外 还有 不过 同时 然后 首先 建议 建议您 建议先 建议您先 需要 可以先 的话 的话就".split())
+DANGLING_LATIN = tuple("and or but so if the a an of to with for in on at by from as which when while we you your our is are will can und oder aber dass wenn der die das ein eine mit für von zu an auf bei ist sind".split())
 END_SIGHT = 64
 _WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 #: What is left of a word or a code that was cut off right after it began.
 STUB = re.compile(r"(?:(?:^|\s|[一-鿿])[A-Z]|(?<=[。！？；!?;])[^\W\d_呢哦哈啊呀嘛亲]{1,3}|(?<=\w\. )[A-Za-z]{1,2})$")
 OPEN_MARK = re.compile(r"(?:[:：、，,（(【《“「\-—]|\d+[、)）])\s*$")
+OPEN_LAST = tuple(":：、，,（(【《“「-—)）")
 ELLIPSIS = re.compile(r"(?:…|\.{3,}|。{3,})\s*$")
 STOP = {
     "en": "the of and to is in for you your with on at be are this that it not after before when from please we our until".split(),
@@ -84,6 +95,7 @@ SCRIPTS = [
     ("ja", re.compile(r"[぀-ヿ]")), ("ko", re.compile(r"[가-힯]")), ("ru", re.compile(r"[Ѐ-ӿ]")), ("el", re.compile(r"[Ͱ-Ͽ]")),
     ("ar", re.compile(r"[؀-ۿ]")), ("th", re.compile(r"[฀-๿]")), ("hi", re.compile(r"[ऀ-ॿ]")), ("he", re.compile(r"[֐-׿]")), ("zh", re.compile(r"[一-鿿]")),
 ]
+SCRIPT_NAMES = [name for name, _ in SCRIPTS]
 HAN = re.compile(r"[一-鿿]")
 RARE_SCRIPT = re.compile(r"[Ͱ-ӿ֐-ۿऀ-ॿ฀-๿぀-ヿ가-힯]")
 LATIN_WORD = re.compile(r"[A-Za-zÀ-ɏẠ-ỹ']+")
@@ -107,7 +119,7 @@ def language(text: str) -> tuple[str | None, str | None, float]:
     """(language, script, share of stop words): by script, for Latin letters by stop words."""
     if HAN.search(text) and not RARE_SCRIPT.search(text) and len(HAN.findall(text)) * 2 > len(text):
         return "zh", "zh", 1.0
-    n = {name: len(p.findall(text)) for name, p in SCRIPTS}
+    n = {name: len(p.findall(text)) for name, p in SCRIPTS} if not text.isascii() else dict.fromkeys(SCRIPT_NAMES, 0)
     words = [w.lower() for w in LATIN_WORD.findall(text)]
     if n["ja"] >= 2 and n["ja"] * 4 >= n["zh"]:
         return "ja", "ja", 1.0
@@ -134,7 +146,7 @@ def uncoded(text: str) -> str:
 
 def core(text: str) -> str:
     """Letters and digits of a text without codes and pleasantries, in lower case."""
-    parts = [p for p in CLAUSE.split(uncoded(text)) if not GREETING.match(p.strip())]
+    parts = [p for p in CLAUSE.split(uncoded(text)) if p.strip().lower() not in GREETING]
     return "".join(LETTERS.findall(" ".join(parts))).lower()
 
 
@@ -200,18 +212,21 @@ def votes(question: str | None, answer: str | None) -> dict[str, int]:
     q, c = core(question or ""), core(a)
     copied = 0
     if q and c and len(c) >= 4:
-        p, r = {q[i : i + 3] for i in range(max(1, len(q) - 2))}, {c[i : i + 3] for i in range(max(1, len(c) - 2))}
-        common = len(p & r)
-        copied = (q == c) | (common >= 0.85 * len(r)) << 1 | (common >= 0.6 * len(p)) << 2
+        # A run of three signs is one of the answer's if it stands in it; the answer's own runs are
+        # only counted if they may be few enough: they are at least its different signs but two.
+        p = {q[i : i + 3] for i in range(max(1, len(q) - 2))}
+        common = sum(g in c for g in p) if len(q) >= 3 else 0
+        inside = common >= 0.85 * (len(set(c)) - 2) and common >= 0.85 * len({c[i : i + 3] for i in range(len(c) - 2)})
+        copied = (q == c) | inside << 1 | (common >= 0.6 * len(p)) << 2
     out["copied_question"] = copied
-    phrase = REFUSAL.search(a) is not None
+    phrase = declines(a)
     left = 0
     if phrase:
         for part in SPLIT.split(bare):
             # A sentence that declines is no content, nor are pleasantries; what follows 'but' is.
             part = part.strip()
-            if part and not REFUSAL.search(part):
-                left += sum(len(x) for piece in CLAUSE.split(part) if not GREETING.match(piece.strip()) for x in LETTERS.findall(piece))
+            if part and not declines(part):
+                left += sum(len(x) for piece in CLAUSE.split(part) if piece.strip().lower() not in GREETING for x in LETTERS.findall(piece))
             elif part and re.search(r"不过|但是?|however|but |though|allerdings|aber ", part, re.I) and not re.search(r"but I can|but we can't|but i cannot", part, re.I):
                 left += 12
     out["refusal"] = phrase | (phrase and left <= 10) << 1 | (0 < len(letters) <= (45 if re.search("[一-鿿]", a) else 90)) << 2
@@ -226,14 +241,14 @@ def votes(question: str | None, answer: str | None) -> dict[str, int]:
     t = CODE.sub("", a).rstrip(_WHITE + "~～") if bare is not a else a.rstrip(_WHITE + "~～")
     # Whatever these patterns match at the end is shorter than END_SIGHT.
     bareend = t.rstrip(_WHITE + "。.!！?？~～…;；，,、:：")[-END_SIGHT:]
-    t = t[-END_SIGHT:]
+    t, low = t[-END_SIGHT:], bareend.lower()
     out["truncated_answer"] = (
         (ELLIPSIS.search(t) is not None and len(letters) > 3)
-        | (OPEN_MARK.search(t) is not None) << 1
-        | (DANGLING.search(bareend) is not None) << 2
+        | (t[-1:] in OPEN_LAST and OPEN_MARK.search(t) is not None) << 1
+        | ends_on(low, DANGLING_HAN, DANGLING_LATIN, _WHITE + "^") << 2
         | (re.search(r"[。.!！?？~～;；]\W*$", a) is None or ELLIPSIS.search(t) is not None) << 4
-        | (CONNECTIVE.search(bareend) is not None) << 5
-        | (STUB.search(bareend) is not None) << 6
+        | ends_on(low, CONNECTIVE_HAN, CONNECTIVE_LATIN, _WHITE + ",") << 5
+        | (STUB.search(bareend[-8:]) is not None) << 6
     ) if letters and not none else 0
     return {k: int(v) for k, v in out.items()}
 
