@@ -4,12 +4,16 @@ Method: hash-threshold histograms.  Every document has a hash; tokens are summed
 bucket, the bucket in which a source's budget ends is found on the sums, and only that bucket is
 refined by the next bits of the hash, until it holds one document.  A document is taken if its hash
 is below its source's threshold (or in a further range, if a document too long for the rest had to
-be passed over): a filter, no sort.  The sums are at most sources x 4096 rows.
+be passed over): a filter, no sort.  A level's sums are at most sources x 4096 rows, and the first
+level, over all tokens, is summed once for all ranges.  Ranges are added until what is left of the
+budget is less than a token, or no later document fits into it.
 
 The size of the mixture is the largest at which every source with documents reaches its share within
 its ``max_repeats``, unless a size in tokens is given.  A target without documents can't be reached;
 its share falls to the others in proportion, and the report shows it.  Whole copies come first, the
 rest by threshold, so no document is used more than one time more often than another of its source.
+Null, empty and unlisted sources and documents without tokens take no part; an empty table gives an
+empty mixture.
 """
 
 from __future__ import annotations
@@ -21,8 +25,8 @@ from ..runtime import materialize
 from . import encode
 
 BITS = 12
-#: Ranges of hashes a source may have, and the share of its budget that may be left over.
-RANGES, NEAR = 8, 0.001
+#: Levels of refinement of the 60 bits of a hash.
+LEVELS = 5
 
 
 class Mixture:
@@ -53,55 +57,41 @@ class Mixture:
         self.documents = self.tokens.join(F.broadcast(plan), "source").withColumn("copies", F.col("whole") + extra).where("copies > 0").select("doc_id", "source", "n_tokens", "copies")
 
     def _thresholds(self) -> None:
-        """Ranges of hashes for the rest of each budget.  A document too long for what is left is
-        passed over and a next range begins after it, until the rest is small."""
-        state = {p["source"]: {"plan": p, "start": 0, "left": p["rest"]} for p in self.plan if p["rest"] >= 1}
-        for turn in range(RANGES):
-            open_ = {s: e for s, e in state.items() if e["left"] > max(1.0, NEAR * e["plan"]["want"]) and e["start"] is not None}
-            if not open_:
-                break
-            self._range(open_, turn == RANGES - 1)
-
-    def _range(self, state: dict, last: bool) -> None:
-        """Nested: each level sums the boundary bucket of every source by the next 12 bits."""
-        edge = dict(state)
-        for e in edge.values():
-            e["prefix"], e["end"] = 0, e["start"]
-        for level in range(1, 6):
-            if not edge:
+        """Ranges of hashes for the rest of each budget.
+
+        One walk over the buckets in the order of their hashes: a bucket that fits is taken whole,
+        one that doesn't is looked into at the next level, and a single document that doesn't fit is
+        passed over.  The walks of all sources go on together, each level's boundary buckets in one
+        job; a bucket whose shortest document doesn't fit is passed over whole.
+        """
+        walks = {p["source"]: _Walk(p["rest"]) for p in self.plan if p["rest"] >= 1}
+        first = self._sums({s: [0] for s in walks}, 1)
+        for s, w in walks.items():
+            w.todo = [(1, *b) for b in reversed(first.get(s, []))]
+        while True:
+            asked = {s: q for s, w in walks.items() if (q := w.run())}
+            if not asked:
                 break
-            shift, above = 60 - BITS * level, 60 - BITS * (level - 1)
-            inside = None
-            for s, e in edge.items():
-                c = (F.col("source") == s) & (F.shiftright("h", above) == e["prefix"]) & (F.col("h") >= e["start"])
-                inside = c if inside is None else inside | c
-            sums = self.tokens.where(inside).groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).collect()
-            by: dict[str, list] = {}
-            for r in sums:
-                by.setdefault(r["source"], []).append((r["bucket"], r["tokens"], r["n"]))
-            for s in list(edge):
-                e = edge[s]
-                for bucket, tokens, n in sorted(by.get(s, [])):
-                    if tokens <= e["left"]:
-                        e["left"] -= tokens
-                        e["end"] = (bucket + 1) << shift
-                        continue
-                    e["prefix"] = bucket
-                    if n == 1 or level == 5:
-                        # One document is left: passed over, or taken at last if that comes nearer.
-                        e["next"] = (bucket + 1) << shift
-                        if last and tokens - e["left"] < e["left"]:
-                            e["end"] = e["next"]
-                            e["left"] = 0
-                        del edge[s]
-                    break
-                else:
-                    e["next"] = None  # all of the source is taken or passed over
-                    del edge[s]
-        for e in state.values():
-            if e["end"] > e["start"]:
-                e["plan"]["ranges"].append((e["start"], e["end"]))
-            e["start"] = e.get("next")
+            for level in sorted({q[0][0] for q in asked.values()}):
+                now = {s: [e[1] for e in q] for s, q in asked.items() if q[0][0] == level}
+                sums = self._sums(now, level + 1)
+                for s in now:
+                    walks[s].open(asked[s], sums.get(s, []))
+        for p in self.plan:
+            if p["source"] in walks:
+                p["ranges"] = walks[p["source"]].ranges
+
+    def _sums(self, asked: dict[str, list[int]], level: int) -> dict[str, list[tuple[int, int, int, int]]]:
+        """(bucket, tokens, documents, tokens of the shortest) of a level within the asked buckets."""
+        shift, above = 60 - BITS * level, 60 - BITS * (level - 1)
+        inside = F.lit(False)
+        for s, buckets in asked.items():
+            inside = inside | ((F.col("source") == s) & F.shiftright("h", above).isin(buckets))
+        rows = self.tokens.where(inside).groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n"), F.min("n_tokens").alias("least")).collect()
+        by: dict[str, list] = {}
+        for r in rows:
+            by.setdefault(r["source"], []).append((r["bucket"], r["tokens"], r["n"], r["least"]))
+        return {s: sorted(x) for s, x in by.items()}
 
     def report(self) -> DataFrame:
         """(source, target_share, max_repeats, documents, tokens, actual_share, most_copies, reached);
@@ -115,3 +105,45 @@ class Mixture:
         actual = F.when(F.col("all") > 0, F.col("tokens") / F.col("all")).otherwise(0.0)
         near = F.abs(actual - F.col("target_share") / F.col("shares")) <= 0.01 * F.col("target_share")
         return out.select("source", "target_share", "max_repeats", "documents", "tokens", actual.alias("actual_share"), "most_copies", (near & (F.col("available") > 0)).alias("reached"))
+
+
+class _Walk:
+    """The walk of one source: ``ranges`` of hashes taken, ``left`` of the budget, ``todo`` buckets
+    (level, bucket, tokens, documents, tokens of the shortest), the next last.
+
+    Every time it stops it looks into twice as many of the buckets to come, so that the number of
+    jobs grows with the logarithm of the buckets that are passed over in part.
+    """
+
+    def __init__(self, budget: float):
+        self.left, self.ranges, self.todo, self.ahead = budget, [], [], 1
+
+    def open(self, asked: list[tuple], sums: list[tuple[int, int, int, int]]) -> None:
+        """Put the buckets of the next level, in order, in the place of the asked ones."""
+        level = asked[0][0]
+        inner: dict[int, list[tuple]] = {}
+        for b in sums:
+            inner.setdefault(b[0] >> BITS, []).append((level + 1, *b))
+        out = []
+        for e in self.todo:
+            out += reversed(inner[e[1]]) if e[0] == level and e[1] in inner else [e]
+        self.todo = out
+
+    def run(self) -> list[tuple]:
+        """Walk on; the buckets to look into, or none at the end."""
+        while self.todo and self.left >= 1:
+            level, bucket, tokens, n, least = self.todo[-1]
+            shift = 60 - BITS * level
+            low, high = bucket << shift, (bucket + 1) << shift
+            if tokens > self.left and n > 1 and least <= self.left and level < LEVELS:
+                may = [e for e in self.todo if e[0] == level and e[2] > self.left and e[3] > 1 and e[4] <= self.left]
+                asked, self.ahead = may[-self.ahead :], self.ahead * 2
+                return asked
+            self.todo.pop()
+            if tokens <= self.left:
+                self.left -= tokens
+                if self.ranges and self.ranges[-1][1] == low:
+                    self.ranges[-1] = (self.ranges[-1][0], high)
+                else:
+                    self.ranges.append((low, high))
+        return []

@@ -4,7 +4,7 @@ Method: for every pair (true encoding, wrong encoding) the garbled sequence of e
 inventory is computed once a worker and put into one Aho-Corasick automaton.  A text is scanned
 once; adjacent matches of one pair join to spans, a span needs the evidence of its pair (below),
 and only the span is encoded and decoded again, so text that is right stays as it is.  Spans are
-searched again in the restored text, for text that was garbled twice.
+searched again in the restored text, as often as it was garbled.
 
 Evidence: three or more garbled characters that stand for one character are enough alone; a pair
 whose sequences have two characters (a legacy two-byte encoding read as one-byte) needs two
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import codecs
 import re
+from bisect import bisect, bisect_left
 from functools import lru_cache
 
 import ahocorasick
@@ -32,6 +33,9 @@ ONE_BYTE = ("cp1252", "latin-1", "cp1251", "cp437", "cp850", "cp1250", "mac_roma
 # Letters and signs outside ASCII that ordinary text has; hanzi are those of GB2312.
 TYPOGRAPHY = "‘’“”„‚–—…•·‰‹›«»€™®©°±²³½¼¾×÷§¶¡¿№→←↑↓★☆●○■□▲△◆◇※℃～￥"
 LATIN = "".join(chr(i) for i in range(0xA0, 0x180) if i != 0xAD)
+#: Kana, full-width forms and emoji; their UTF-8 sequences have three or four characters.
+KANA = "".join(map(chr, [*range(0x3041, 0x3097), *range(0x30A1, 0x30FF), *range(0xFF01, 0xFF5F)]))
+EMOJI = "".join(map(chr, [*range(0x2600, 0x27C0), 0xFE0F, 0x200D, *range(0x1F300, 0x1F650), *range(0x1F680, 0x1F700), *range(0x1F900, 0x1FA00), *range(0x1FA70, 0x1FB00)]))
 
 
 def _table(name: str) -> list[str]:
@@ -61,6 +65,11 @@ def hanzi() -> tuple[frozenset, frozenset]:
     return frozenset(common), frozenset(every)
 
 
+def _hangul() -> str:
+    """The syllables of the Korean standard, by its rows."""
+    return "".join(bytes([lead, trail]).decode("euc_kr") for lead in range(0xB0, 0xC9) for trail in range(0xA1, 0xFF))
+
+
 def _cjk_marks() -> str:
     out = []
     for lead in (0xA1, 0xA3):
@@ -118,7 +127,7 @@ def automaton():
         family = "cp1252" if name == "latin-1" else name
         chars = _table(name)
         # The encoding's own characters are what a text garbled twice has been through.
-        for c in (*every, *marks, *LATIN, *TYPOGRAPHY, *chars[128:], *map(chr, range(0x80, 0xA0))):
+        for c in (*every, *marks, *LATIN, *TYPOGRAPHY, *KANA, *_hangul(), *EMOJI, *chars[128:], *map(chr, range(0x80, 0xA0))):
             known.setdefault("".join(map(chars.__getitem__, c.encode("utf-8"))), set()).add(("utf-8", family))
     for name in ONE_BYTE:
         chars = _table(name)
@@ -190,9 +199,11 @@ def spans(text: str, only: set | None = None) -> list[tuple[int, int, str, tuple
                 found += [((1, odd(r), s - e), s, e, r, pair) for s, e, r in _two_byte_spans(text, *pair, got, tables)]
     out: list[tuple[int, int, str, tuple]] = []
     for _, s, e, r, pair in sorted(found):
-        if all(e <= x[0] or s >= x[1] for x in out):
-            out.append((s, e, r, pair))
-    return sorted(out)
+        # In order and apart, so that only the neighbours can overlap.
+        k = bisect(out, s, key=lambda x: x[0])
+        if (k == 0 or out[k - 1][1] <= s) and (k == len(out) or e <= out[k][0]):
+            out.insert(k, (s, e, r, pair))
+    return out
 
 
 def _one_byte_spans(text, true, wrong, got, tables):
@@ -221,8 +232,9 @@ def _one_byte_spans(text, true, wrong, got, tables):
 
 def _two_byte_spans(text, true, wrong, got, tables):
     out = []
+    starts = [s for s, _ in got]
     for run in (_RUN if true == "utf-8" else _CLAUSE).finditer(text):
-        inside = [(s, e) for s, e in got if run.start() <= s and e <= run.end()]
+        inside = [x for x in got[bisect_left(starts, run.start()) : bisect_left(starts, run.end())] if x[1] <= run.end()]
         if not inside or len(inside) < 2 and true != "utf-8":
             continue
         s = inside[0][0] if true == "utf-8" else run.start()
@@ -247,23 +259,21 @@ def _two_byte_spans(text, true, wrong, got, tables):
     return out
 
 
-def restore(text: str | None, rounds: int = 3) -> tuple[str | None, bool]:
+def restore(text: str | None) -> tuple[str | None, bool]:
     """(text with its garbled spans restored, whether there were any)."""
     if not text:
         return text, False
     now = spans(text)
     if not now:
         return text, False
-    for _ in range(rounds):
-        parts, at = [], 0
+    while now:
+        before, parts, at = len(text), [], 0
         for s, e, r, _pair in now:
             parts += [text[at:s], r]
             at = e
         text = "".join([*parts, text[at:]])
-        # Only what was garbled more than once in the same way is left.
-        now = spans(text, {x[3] for x in now if x[3][0] == "utf-8"})
-        if not now:
-            break
+        # What is left was garbled more than once in the same way; each restoring makes it shorter.
+        now = spans(text, {x[3] for x in now if x[3][0] == "utf-8"}) if len(text) < before else []
     return text, True
 
 

@@ -30,3 +30,15 @@ def test_size_given_and_short_sources(spark):
 def test_empty(spark):
     assert Mixture(spark.createDataFrame([], D), spark.createDataFrame([("a", 1.0, 1)], T)).documents.count() == 0
     assert Mixture(spark.createDataFrame([(1, "a", "x")], D), spark.createDataFrame([], T)).documents.count() == 0
+
+
+def test_more_ranges_than_eight(spark):
+    """Budgets end between documents of very different length: all that fits is taken."""
+    docs = [(i, "a", "shoe " * (700 if i % 3 else 1 + i % 5)) for i in range(3000)]
+    mix = Mixture(spark.createDataFrame(docs, D), spark.createDataFrame([("a", 1.0, 1)], T), size=1_000_500)
+    plan = mix.plan[0]
+    left = 1_000_500 - sum(r.n_tokens * r.copies for r in mix.documents.collect())
+    rest = mix.tokens.count() - mix.documents.count()
+    assert 0 <= left < 700 and rest > 0 and len(plan["ranges"]) > 8
+    used = {r.doc_id for r in mix.documents.collect()}
+    assert left < 1 or all(r.n_tokens > left for r in mix.tokens.collect() if r.doc_id not in used)

@@ -71,3 +71,22 @@ def test_operator(spark):
     assert {tuple(r) for r in mj.found(records).collect()} == {("message", "2"), ("text_source", "b")}
     assert {tuple(r) for r in mj.repair(records).collect()} == {("message", "2", ZH), ("text_source", "b", ZH)}
     assert mj.found(records.limit(0)).count() == 0
+
+
+def test_as_often_as_garbled():
+    right = "鞋子很好，下次再来买"
+    text = right
+    for _ in range(5):
+        text = text.encode().decode("latin-1")
+        assert mj.restore(text) == (right, True)
+
+
+def test_kana_hangul_and_emoji():
+    for right in ("こんにちは", "안녕하세요", "好的😊谢谢"):
+        assert mj.restore(right) == (right, False)
+        assert mj.restore(right.encode().decode("cp437")) == (right, True)
+
+
+def test_many_spans_in_one_text():
+    text, was = mj.restore("ok Ã© " * 100_000)
+    assert was and text == "ok é " * 100_000
