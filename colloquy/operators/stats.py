@@ -3,17 +3,53 @@
 from __future__ import annotations
 
 import math
-import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _places(df: DataFrame, by: list[str], value: str, places) -> DataFrame:
+    """One row a group with the values at places, 0-based, of its sorted values; nulls don't count.
+
+    places: name -> function of the group's number of values.  Equal values are counted before the
+    shuffle, and a group's distinct ones stream through a sorted window that spills.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*(by or [F.lit(1)]))
+    counts = counts.withColumns({"_upto": F.sum("_n").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_all": F.sum("_n").over(w)})
+    at = lambda i: F.max(F.when((F.col("_upto") > i) & (F.col("_upto") - F.col("_n") <= i), F.col("_v")))
+    return counts.groupBy(*by).agg(*[at(f(F.col("_all"))).alias(name) for name, f in places.items()], F.max("_all").alias("_all"))
+
+
+def _beside(df: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
+    """Left join of tables with one row a group, in which a null key is a key."""
+    o = other.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], *[c for c in other.columns if c not in by])
+    if not by:
+        return df.join(o)  # one row each
+    on = F.lit(True)
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    return df.join(o, on, "left").drop(*[f"_by{i}" for i in range(len(by))])
+
+
+def _between(fraction: float) -> dict:
+    place = lambda n: (n - 1) * F.lit(float(fraction))
+    return {"_lo": lambda n: F.floor(place(n)), "_hi": lambda n: F.ceil(place(n))}
+
+
+def _interpolated(fraction: float) -> Column:
+    place = (F.col("_all") - 1) * F.lit(float(fraction))
+    part = place - F.floor(place)
+    return F.when(part == 0, F.col("_lo").cast("double")).otherwise((1 - part) * F.col("_lo") + part * F.col("_hi"))
+
+
 def numeric_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by, n, mean, sd, median, low, high): sample standard deviation, interpolated median."""
     v = F.col(value)
-    return df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.percentile(v, 0.5).alias("median"), F.min(v).alias("low"), F.max(v).alias("high"))
+    base = df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("low"), F.max(v).alias("high"))
+    return _beside(base, _places(df, by, value, _between(0.5)), by).select(*by, "n", "mean", "sd", _interpolated(0.5).alias("median"), "low", "high")
 
 
 def binary_summary(df: DataFrame, by: list[str], passed: Column) -> DataFrame:
@@ -32,12 +68,14 @@ def distribution(df: DataFrame, value: str, domain: list | None = None) -> DataF
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, fraction: float) -> DataFrame:
-    """Nearest-rank percentile: the value at place ceil(fraction * n)."""
-    return df.groupBy(*by).agg(F.expr(f"percentile_disc({fraction}) within group (order by {value})").alias("percentile"))
+    """Nearest-rank percentile: the value at place ceil(fraction * n); null for a group without values."""
+    first = {"percentile": lambda n: F.greatest(F.ceil(n * F.lit(float(fraction))) - 1, F.lit(0))}
+    return _beside(df.groupBy(*by).agg(F.count("*").alias("_rows")), _places(df, by, value, first), by).select(*by, "percentile")
 
 
 def linear_quantile(df: DataFrame, by: list[str], value: str, fraction: float) -> DataFrame:
-    return df.groupBy(*by).agg(F.percentile(F.col(value), fraction).alias("quantile"))
+    """Quantile between the two nearest places; null for a group without values."""
+    return _beside(df.groupBy(*by).agg(F.count("*").alias("_rows")), _places(df, by, value, _between(fraction)), by).select(*by, _interpolated(fraction).alias("quantile"))
 
 
 def mid_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -50,41 +88,54 @@ def mid_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.join(ranks, [*by, value])
 
 
-def signed_rank_p(differences: list[float]) -> tuple[float, float, float | None, float | None]:
-    """(W+, W-, exact two-sided p, rank-biserial): zeros dropped, doubled mid-ranks, by counting all
-    sign patterns through their sums."""
-    d = sorted((abs(x), x > 0) for x in differences if x)
-    if not d:
-        return 0.0, 0.0, None, None
-    ranks, i = [], 0
-    while i < len(d):
-        j = i
-        while j < len(d) and d[j][0] == d[i][0]:
-            j += 1
-        ranks += [i + 1 + j] * (j - i)  # twice the mean rank
-        i = j
-    plus = sum(r for r, (_, up) in zip(ranks, d) if up)
-    total = sum(ranks)
-    ways = {0: 1}
-    for r in ranks:
-        nxt = dict(ways)
-        for s, n in ways.items():
-            nxt[s + r] = nxt.get(s + r, 0) + n
-        ways = nxt
+#: Pairs up to which the signed-rank distribution is exact; beyond, the normal one with tie correction.
+EXACT_PAIRS = 2000
+
+
+def signed_rank_p(sizes: list[tuple[float, int, int]], pairs: int) -> tuple[float | None, float | None, float | None, float | None]:
+    """(W+, W-, two-sided p, rank-biserial) from (size, number above 0, number below 0) of the
+    differences that aren't zero.  Without any, p is 1 and the effect 0 if there were pairs at all,
+    else all is null.  The null distribution of the doubled rank sum is built up rank by rank.
+    """
+    if not pairs:
+        return None, None, None, None
+    ranks, plus, below = [], 0, 0
+    for _, up, down in sorted(sizes):
+        n = up + down
+        twice = 2 * below + n + 1  # twice the mean rank
+        ranks.append((twice, n))
+        plus, below = plus + twice * up, below + n
+    total = sum(r * n for r, n in ranks)
+    if not total:
+        return 0.0, 0.0, 1.0, 0.0
     small = min(plus, total - plus)
-    p = min(1.0, 2 * sum(n for s, n in ways.items() if s <= small) / 2 ** len(d))
-    return plus / 2, (total - plus) / 2, p, (2 * plus - total) / total
+    if below <= EXACT_PAIRS:
+        ways = np.zeros(small + 1)
+        ways[0] = 1.0
+        for r, n in ranks:
+            for _ in range(n):
+                moved = np.zeros_like(ways)
+                moved[r:] = ways[: max(0, small + 1 - r)]
+                ways = (ways + moved) / 2
+        p = 2 * math.fsum(ways)
+    else:
+        spread = math.sqrt(sum(n * r * r for r, n in ranks)) / 2
+        p = math.erfc(max(0.0, total / 2 - small - 1) / spread / math.sqrt(2))
+    return plus / 2, (total - plus) / 2, min(1.0, p), (2 * plus - total) / total
 
 
 def wilcoxon(df: DataFrame, by: list[str], difference: str) -> DataFrame:
-    """Exact signed-rank test for each group of paired differences."""
+    """(by, w_plus, w_minus, p_value, rank_biserial): signed-rank test of each group of paired
+    differences, nulls left out.  Differences of one size are counted before the shuffle."""
     keys = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        plus, minus, p, effect = signed_rank_p([x for x in pdf[difference] if x == x and x is not None])
-        return pd.DataFrame([[*(pdf[c].iloc[0] for c in by), plus, minus, p, effect]], columns=[*by, "w_plus", "w_minus", "p_value", "rank_biserial"])
+        rows = [(s, int(u), int(d)) for s, u, d in zip(pdf["_size"], pdf["_up"], pdf["_down"]) if s == s and s]
+        return pd.DataFrame([[*(pdf[c].iloc[0] for c in by), *signed_rank_p(rows, int(pdf["_n"].sum()))]], columns=[*by, "w_plus", "w_minus", "p_value", "rank_biserial"])
 
-    return df.select(*by, difference).groupBy(*by).applyInPandas(work, f"{keys}, w_plus double, w_minus double, p_value double, rank_biserial double")
+    x = F.col(difference)
+    sizes = df.groupBy(*by, F.abs(x).cast("double").alias("_size")).agg(F.count_if(x > 0).alias("_up"), F.count_if(x < 0).alias("_down"), F.count(x).alias("_n"))
+    return sizes.groupBy(*by).applyInPandas(work, f"{keys}, w_plus double, w_minus double, p_value double, rank_biserial double")
 
 
 def mcnemar(df: DataFrame, by: list[str], first: Column, second: Column) -> DataFrame:
@@ -146,27 +197,65 @@ def apportion(df: DataFrame, key: str, count: str, seats: int) -> DataFrame:
     return d.withColumn("_left", left).withColumn("seats", (F.col("_f") + F.when(rank <= F.col("_left"), 1).otherwise(0)).cast("long")).drop("_q", "_f", "_left")
 
 
-def bootstrap_interval(df: DataFrame, by: list[str], difference: str, resamples: int = 10_000, seed: int = 20260721, level: float = 0.95) -> DataFrame:
-    """(by, mean, low, high): percentile interval of the mean of paired differences, fixed seed."""
+#: Differences up to which resamples draw places one after the other; beyond, how often each value is drawn.
+SEQUENTIAL = 5000
+
+
+def resampled_means(values: list[float], counts: list[int] | None, resamples: int, seed: int) -> np.ndarray:
+    """Means of resamples of as many values as there are.
+
+    counts None: values in their order; the generator and its draws are those of Python's
+    ``Random(seed).randrange``, many at a time.  Else each value with its count, drawn as multinomial
+    counts: the same distribution, at a cost that doesn't grow with the counts.
+    """
+    x = np.array(values, dtype=float)
+    if counts is not None:
+        n = np.array(counts)
+        rng, out = np.random.default_rng(seed), []
+        for at in range(0, resamples, 10_000):
+            out.append(rng.multinomial(n.sum(), n / n.sum(), size=min(10_000, resamples - at)) @ x / n.sum())
+        return np.concatenate(out)
+    n, rng = len(x), np.random.RandomState(np.array([seed], dtype=np.uint32))
+    shift, kept, out = 32 - n.bit_length(), np.empty(0, np.int64), []
+    while len(out) < resamples:
+        draw = rng.randint(0, 2**32, size=max(1024, min(1 << 20, 2 * n * (resamples - len(out)))), dtype=np.uint32) >> np.uint32(shift)
+        kept = np.concatenate([kept, draw[draw < n].astype(np.int64)])
+        full = min(len(kept) // n, resamples - len(out))
+        out += (x[kept[: full * n]].reshape(full, n).sum(axis=1) / n).tolist()
+        kept = kept[full * n :]
+    return np.array(out)
+
+
+def bootstrap_interval(df: DataFrame, by: list[str], difference: str, order: list[str], resamples: int = 100_000, seed: int = 20260721, level: float = 0.95) -> DataFrame:
+    """(by, mean, low, high): percentile interval of the mean of paired differences, fixed seed.
+
+    Nulls are left out; a group without differences has nulls.  A group of up to ``SEQUENTIAL``
+    differences is resampled in the given order; of a larger one only the counted values are sent.
+    """
     keys = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
+    x = df.select(*by, F.col(difference).cast("double").alias("_x"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    sizes = x.groupBy(*by).agg(F.count("_x").alias("_n"))
+    counted = x.groupBy(*by, "_x").agg(F.count("*").alias("_c"))
+    large = _beside(counted, sizes, by).where(F.col("_n") > SEQUENTIAL).select(*by, "_x", "_c", *[F.lit(None).cast(x.schema[f"_o{i}"].dataType).alias(f"_o{i}") for i in range(len(order))])
+    small = _beside(x, sizes, by).where(F.col("_n") <= SEQUENTIAL).select(*by, "_x", F.lit(None).cast("long").alias("_c"), *[f"_o{i}" for i in range(len(order))])
+    places = [f"_o{i}" for i in range(len(order))]
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = sorted(v for v in pdf[difference] if v == v)
-        rng = random.Random(seed)
-        n = len(x)
-        means = sorted(math.fsum(rng.choices(x, k=n)) / n for _ in range(resamples)) if n else []
-
-        def at(p: float) -> float | None:
-            if not means:
-                return None
-            i = p * (len(means) - 1)
-            lo = math.floor(i)
-            return means[lo] + (means[min(lo + 1, len(means) - 1)] - means[lo]) * (i - lo)
-
+        key = [pdf[c].iloc[0] for c in by]
+        pdf = pdf[pdf["_x"].notna()]
+        if not len(pdf):
+            return pd.DataFrame([[*key, None, None, None]], columns=[*by, "mean", "low", "high"])
+        if pdf["_c"].notna().any():
+            pdf = pdf.sort_values("_x")
+            v, c = pdf["_x"].tolist(), pdf["_c"].astype("int64").tolist()
+            mean, means = math.fsum(a * b for a, b in zip(v, c)) / sum(c), resampled_means(v, c, resamples, seed)
+        else:
+            v = pdf.sort_values(places, kind="stable")["_x"].tolist()
+            mean, means = math.fsum(v) / len(v), resampled_means(v, None, resamples, seed)
         a = (1 - level) / 2
-        return pd.DataFrame([[*(pdf[c].iloc[0] for c in by), math.fsum(x) / n if n else None, at(a), at(1 - a)]], columns=[*by, "mean", "low", "high"])
+        return pd.DataFrame([[*key, mean, *np.quantile(means, [a, 1 - a])]], columns=[*by, "mean", "low", "high"])
 
-    return df.select(*by, difference).groupBy(*by).applyInPandas(work, f"{keys}, mean double, low double, high double")
+    return large.unionByName(small).groupBy(*by).applyInPandas(work, f"{keys}, mean double, low double, high double")
 
 
 def with_total(df: DataFrame, key: str, *aggregates: Column) -> DataFrame:

@@ -379,10 +379,14 @@ def wilcoxon_rank_sums(spark, d):
     return r.groupBy("source_month").agg(plus(F.col("diff") > 0).alias("w_plus"), plus(F.col("diff") < 0).alias("w_minus"))
 
 
+def paired(spark, d):
+    """Differences of paired counts of the candidates."""
+    return table(spark, d, "external_candidates").select("source_month", "external_candidate_id", (F.col("customer_turn_message_count") - F.col("service_turn_message_count")).alias("difference"))
+
+
 @query()
 def wilcoxon_exact(spark, d):
-    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return stats.wilcoxon(n.select("r_name", (F.length("n_name") - 6.5).alias("difference")), ["r_name"], "difference")
+    return stats.wilcoxon(paired(spark, d), ["source_month"], "difference")
 
 
 @query("select source_month, count(*) filter (a and b) as both, count(*) filter (a and not b) as first_only, count(*) filter (not a and b) as second_only, count(*) filter (not a and not b) as neither from (select source_month, pii_detected as a, coalesce(pii_types, '') <> '' as b from external_candidates) group by source_month")
@@ -404,8 +408,7 @@ def holm(spark, d):
 
 @query()
 def bootstrap_interval(spark, d):
-    n = table(spark, d, "nation").select("n_regionkey", F.length("n_name").cast("double").alias("x"))
-    return stats.bootstrap_interval(n, ["n_regionkey"], "x", 2000)
+    return stats.bootstrap_interval(paired(spark, d), ["source_month"], "difference", ["external_candidate_id"])
 
 
 @query("select d.source_month, coalesce(n, 0) as n from (select unnest(range(1, 13)) as source_month) d left join (select source_month, count(*) as n from external_candidates group by 1) using (source_month)")

@@ -207,9 +207,10 @@ def test_masking(spark):
 
 def test_statistics(spark):
     # Exact p values worked out by hand or by enumeration.
-    assert stats.signed_rank_p([1, 2, 3, 4, 5]) == (15.0, 0.0, 0.0625, 1.0)
-    assert stats.signed_rank_p([0, 0]) == (0.0, 0.0, None, None)
-    plus, minus, p, _ = stats.signed_rank_p([1, -1, 2, -3])
+    signed = lambda xs: stats.signed_rank_p([(s, sum(x == s for x in xs), sum(x == -s for x in xs)) for s in {abs(x) for x in xs if x}], len(xs))
+    assert signed([1, 2, 3, 4, 5]) == (15.0, 0.0, 0.0625, 1.0)
+    assert signed([0, 0]) == (0.0, 0.0, 1.0, 0.0) and signed([]) == (None,) * 4
+    plus, minus, p, _ = signed([1, -1, 2, -3])
     assert (plus, minus) == (4.5, 5.5) and p == 1.0
     df = spark.createDataFrame([("g", True, False)] * 6 + [("g", False, True)] + [("g", True, True)] * 3, "g string, a boolean, b boolean")
     r = stats.mcnemar(df, ["g"], F.col("a"), F.col("b")).first()
@@ -223,7 +224,7 @@ def test_statistics(spark):
     assert {r.k: r.seats for r in a} == {"a": 2, "b": 1, "c": 1}
     ranks = stats.mid_ranks(spark.createDataFrame([("g", 1), ("g", 2), ("g", 2), ("g", 5)], "g string, v int"), ["g"], "v").collect()
     assert sorted((r.v, r.mid_rank) for r in ranks) == [(1, 1.0), (2, 2.5), (2, 2.5), (5, 4.0)]
-    b = stats.bootstrap_interval(spark.createDataFrame([("g", 1.0), ("g", 3.0)], "g string, x double"), ["g"], "x", 500).first()
+    b = stats.bootstrap_interval(spark.createDataFrame([("g", 1.0), ("g", 3.0)], "g string, x double"), ["g"], "x", ["x"], 500).first()
     assert b.mean == 2.0 and b.low == 1.0 and b.high == 3.0
 
 
@@ -291,3 +292,46 @@ def test_catalogue(spark):
     assert {r.product_id: r.key_function for r in catalog.key_function(df, {"high": 3, "low": 1}).collect()} == {"a": "b", "b": None, "c": None, "d": "k"}
     refs = spark.createDataFrame([("a/b.png",), ("../x.png",), (None,), ("a//b.png",)], "r string")
     assert [r.ok for r in refs.select(catalog.safe_reference(F.col("r")).alias("ok")).collect()] == [True, False, False, False]
+
+
+def test_signed_ranks_against_all_sign_patterns(spark):
+    from itertools import product
+
+    r = random.Random(3)
+    rows, want = [], {}
+    for g in range(12):
+        xs = [r.randint(-4, 4) for _ in range(g)]
+        rows += [(g, x) for x in xs] + [(g, None)]
+        size = sorted(abs(x) for x in xs if x)
+        rank = [(size.index(abs(x)) + 1 + len(size) - size[::-1].index(abs(x))) / 2 if x else 0 for x in xs]
+        plus = sum(k for k, x in zip(rank, xs) if x > 0)
+        nonzero = [k for k in rank if k]
+        sums = [sum(k for k, up in zip(nonzero, ups) if up) for ups in product([0, 1], repeat=len(nonzero))]
+        small = min(plus, sum(rank) - plus)
+        want[g] = (plus, sum(rank) - plus, min(1.0, 2 * sum(s <= small for s in sums) / len(sums))) if xs else (None, None, None)
+    for x in stats.wilcoxon(spark.createDataFrame(rows, "g int, x int"), ["g"], "x").collect():
+        assert tuple(x)[1:4] == pytest.approx(want[x.g]) if want[x.g][0] is not None else tuple(x)[1:4] == want[x.g]
+    many = [(x, 30 + x, 25) for x in range(1, 40)]
+    exact = stats.signed_rank_p(many, 3000)[2]
+    stats.EXACT_PAIRS, kept = 0, stats.EXACT_PAIRS
+    try:
+        assert stats.signed_rank_p(many, 3000)[2] == pytest.approx(exact, abs=0.002)
+    finally:
+        stats.EXACT_PAIRS = kept
+
+
+def test_resamples_are_those_of_the_sequential_generator():
+    rng, x = random.Random(20260721), [3.0, -1.0, 2.0, 0.0, 5.0, 1.0, -2.0]
+    want = [sum(x[rng.randrange(7)] for _ in range(7)) / 7 for _ in range(3000)]
+    assert stats.resampled_means(x, None, 3000, 20260721).tolist() == pytest.approx(want)
+    by_count = stats.resampled_means([0.0, 1.0], [600, 400], 20_000, 1)
+    assert by_count.mean() == pytest.approx(0.4, abs=0.002) and by_count.std() == pytest.approx((0.24 / 1000) ** 0.5, rel=0.05)
+
+
+def test_quantiles_of_groups(spark):
+    rows = [("a", 1.0), ("a", 2.0), ("a", 2.0), ("a", 10.0), ("b", 5.0), ("c", None), (None, 3.0), (None, 4.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    assert {tuple(r) for r in stats.linear_quantile(df, ["g"], "x", 0.75).collect()} == {("a", 4.0), ("b", 5.0), ("c", None), (None, 3.75)}
+    assert {tuple(r) for r in stats.nearest_rank(df, ["g"], "x", 0.5).collect()} == {("a", 2.0), ("b", 5.0), ("c", None), (None, 3.0)}
+    assert {(r.g, r.median, r.n) for r in stats.numeric_summary(df, ["g"], "x").collect()} == {("a", 2.0, 4), ("b", 5.0, 1), ("c", None, 0), (None, 3.5, 2)}
+    assert stats.numeric_summary(df, [], "x").first().median == 3.0
