@@ -215,7 +215,7 @@ def resampled_means(values: list[float], counts: list[int] | None, resamples: in
         for at in range(0, resamples, 10_000):
             out.append(rng.multinomial(n.sum(), n / n.sum(), size=min(10_000, resamples - at)) @ x / n.sum())
         return np.concatenate(out)
-    n, rng = len(x), np.random.RandomState(np.array([seed], dtype=np.uint32))
+    n, rng = len(x), np.random.RandomState([seed])
     shift, kept, out = 32 - n.bit_length(), np.empty(0, np.int64), []
     while len(out) < resamples:
         draw = rng.randint(0, 2**32, size=max(1024, min(1 << 20, 2 * n * (resamples - len(out)))), dtype=np.uint32) >> np.uint32(shift)
