@@ -58,7 +58,7 @@ def groups(schema: T.StructType) -> dict[tuple[str, ...], Group]:
 
 
 def _text(value: Column, kind: T.DataType) -> Column:
-    return F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS") if isinstance(kind, T.TimestampType) else value.cast("string")
+    return F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS") if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else value.cast("string")
 
 
 def _leaf(schema: T.DataType, path: tuple[str, ...]) -> T.DataType:

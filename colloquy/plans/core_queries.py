@@ -172,10 +172,25 @@ def multi_labels(spark, d):
     return table(spark, d, "external_candidates").select("external_candidate_id", F.array_join(rules.all_matches(F.coalesce("final_question", F.lit("")), rules.CATEGORIES), "|").alias("labels"))
 
 
-@query()
+NOISE = {"customer": ["你好", "在吗", "ok", "好的"], "service": ["稍等", "好的", "收到"]}
+TEMPLATE = "聊天记录中暂不支持展示"
+_U = r"[\s\pZ\x1c-\x1f\x{85}\x{0b}]"
+_EDGES = r"regexp_replace(replace(message_content, chr(65279), ''), '^[ \t\r\n；;]+|[ \t\r\n；;]+$', '', 'g')"
+_BARE = r"regexp_replace(regexp_replace(v, '(?i)#[\t-\r ]*E[\t-\r ]*[-_][\t-\r ]*[A-Z][\t-\r ]*[0-9]+', '', 'g'), '^[ \t，,。；;：:]+|[ \t，,。；;：:]+$', '', 'g')"
+_PIECES = f"list_filter(regexp_split_to_array(v, '(?:{_U}|[；;])+'), lambda x: x <> '')"
+_LINKS = f"(len({_PIECES}) > 0 and len(list_filter({_PIECES}, lambda x: not (regexp_matches(x, '^(?i)(?:https?://|www\\.)[^\\t-\\r ]+$') or regexp_matches(x, '(?i)^(?:\\[?图片\\]?|\\[?image\\]?|图片链接|查看图片|发送了一张图片)$')))) = 0)"
+_SEEN = lambda c: f"regexp_matches({c}, '[㐀-鿿A-Za-z0-9]')"
+_NOISY = lambda c, who: f"{sql_key(c)} in ('', {', '.join(repr(w) for w in NOISE[who])})"
+_ONE_LINE = lambda c: f"regexp_replace({c}, '[\\t-\\r ]*\\r?\\n[\\t-\\r ]*', '；', 'g')"
+
+
+@query(
+    f"with {SPOKEN}, v as (select message_id, role, message_content, {_EDGES} as v from m), b as (select *, {_BARE} as b from v), c as (select message_id, case when message_content is null or v = '' or {_LINKS} then ''"
+    f" when role = 'customer' then case when {_NOISY('v', 'customer')} or not {_SEEN('v')} then '' else {_ONE_LINE('v')} end else case when contains(v, '{TEMPLATE}') or {_NOISY('b', 'service')} or not {_SEEN('b')} then '' else {_ONE_LINE('b')} end end as cleaned from b) select * from c where cleaned <> ''"
+)
 def cleaned_turn_messages(spark, d):
     m = spoken(spark, d)
-    c, s = text.clean_customer(F.col("message_content"), ["你好", "在吗", "ok", "好的"]), text.clean_service(F.col("message_content"), ["稍等", "好的", "收到"], "聊天记录中暂不支持展示")
+    c, s = text.clean_customer(F.col("message_content"), NOISE["customer"]), text.clean_service(F.col("message_content"), NOISE["service"], TEMPLATE)
     return m.select("message_id", F.when(F.col("role") == "customer", c).otherwise(s).alias("cleaned")).where("cleaned <> ''")
 
 
@@ -218,9 +233,14 @@ def stable_ids(spark, d):
     return table(spark, d, "messages").select("message_id", text.stable_id(16, F.col("external_store_id"), F.col("session_id")).alias("stable_session"))
 
 
-@query()
+BLIND_KEY = b"review"
+# The keyed hash written out: hash of the outer key and the hash of the inner key and the message.
+_INNER, _OUTER = ("".join(f"\\x{b ^ x:02X}" for b in BLIND_KEY.ljust(64, b"\0")) for x in (0x36, 0x5C))
+
+
+@query(f"select external_candidate_id, 'r_' || substr(sha256('{_OUTER}'::blob || unhex(sha256('{_INNER}'::blob || encode(external_candidate_id)))), 1, 24) as blind from external_candidates")
 def blind_ids(spark, d):
-    return masking.blind_id(table(spark, d, "external_candidates").select("external_candidate_id"), ["external_candidate_id"], b"review", "r_", "blind")
+    return masking.blind_id(table(spark, d, "external_candidates").select("external_candidate_id"), ["external_candidate_id"], BLIND_KEY, "r_", "blind")
 
 
 # Retrieval: every vector whose id is divisible by 50 asks, all answer.
@@ -395,9 +415,10 @@ def mcnemar_counts(spark, d):
     return m.drop("p_value")
 
 
-@query()
+@query("with c as (select source_month, count(*) filter (a and not b) as x, count(*) filter (not a and b) as y from (select source_month, pii_detected as a, coalesce(pii_types, '') <> '' as b from external_candidates) group by source_month) select source_month, round(case when x + y = 0 then 1.0 else least(1.0, 2 * (select sum(exp(lgamma(x + y + 1) - lgamma(k + 1) - lgamma(x + y - k + 1) - (x + y) * ln(2))) from range(0, least(x, y) + 1) r(k))) end, 9) as p_value from c")
 def mcnemar_exact(spark, d):
-    return stats.mcnemar(table(spark, d, "external_candidates"), ["source_month"], F.col("pii_detected"), F.coalesce("pii_types", F.lit("")) != "").select("source_month", "p_value")
+    m = stats.mcnemar(table(spark, d, "external_candidates"), ["source_month"], F.col("pii_detected"), F.coalesce("pii_types", F.lit("")) != "")
+    return m.select("source_month", F.round("p_value", 9).alias("p_value"))
 
 
 @query("with p as (select l_returnflag as family, l_shipmode_or_line as name, p from (select l_returnflag, l_linenumber as l_shipmode_or_line, avg(l_discount) / 10 as p from lineitem group by all)), r as (select *, (count(*) over (partition by family) - row_number() over (partition by family order by p, name) + 1) * p as step, row_number() over (partition by family order by p, name) as k from p) select family, name, round(least(1.0, max(step) over (partition by family order by k rows unbounded preceding)), 8) as adjusted from r")
@@ -504,14 +525,22 @@ def size_chart_errors(spark, d):
     return catalog.chart_errors(_latest(spark, d))
 
 
-@query()
+_VARIANTS = "list_filter(variants, lambda x: x is not null)"
+_COLOURS = f"list_sort(list_distinct(list_filter(list_transform({_VARIANTS}, lambda x: trim(x.color_name)), lambda c: c <> '')))"
+_SIZES = f"list_sort(list_distinct(list_filter(flatten(list_transform({_VARIANTS}, lambda x: coalesce(x.available_sizes, []))), lambda s: s is not null)))"
+
+
+@query(_PRODUCTS + f" select product_id, identity.name as name, identity.category as category, pricing.display_price as display_price, coalesce(array_to_string({_COLOURS}, '|'), '') as colours, coalesce(array_to_string({_SIZES}, '|'), '') as sizes from p")
 def public_products(spark, d):
     return catalog.public_view(_latest(spark, d))
 
 
-@query()
+LEVELS = {"high": 3, "medium": 2, "low": 1, "高": 3, "中": 2, "低": 1}
+
+
+@query(_PRODUCTS + ", e as (select product_id, unnest(map_entries(functions)) as e from p), r as (select product_id, e.key as k, row_number() over (partition by product_id order by case lower(trim(e.value.level)) " + " ".join(f"when '{w}' then {n}" for w, n in LEVELS.items()) + " else 0 end desc, e.key) as rn from e) select p.product_id, r.k as key_function from p left join r on r.product_id = p.product_id and r.rn = 1")
 def key_functions(spark, d):
-    return catalog.key_function(_latest(spark, d), {"high": 3, "medium": 2, "low": 1, "高": 3, "中": 2, "低": 1})
+    return catalog.key_function(_latest(spark, d), LEVELS)
 
 
 # State and event time.
@@ -550,8 +579,12 @@ def answer_claims(spark, d):
     return out.select("external_candidate_id", "answer", F.array_join("blocked", "|").alias("blocked")).where("blocked <> ''")
 
 
-@query()
+PLEASANTRIES = ["亲", "亲亲", "您好", "在的亲", "感谢咨询", "感谢理解"]
+_PLEASANT = "|".join(sorted(PLEASANTRIES, key=len, reverse=True))
+
+
+@query(f"select external_candidate_id, case when final_answer is null then null when len(kept) = 0 then '' else array_to_string(kept, '。') || '。' end as answer from (select external_candidate_id, final_answer, list_filter(list_transform(list_filter(regexp_split_to_array(final_answer, '[。！!？?\\n]+'), lambda s: trim(s) <> ''), lambda s: trim(regexp_replace(s, '^[\\t-\\r ]*(?:(?:{_PLEASANT})[，,、~～\\t-\\r ]*)+', ''))), lambda s: s <> '') as kept from external_candidates)")
 def tidy_answers(spark, d):
     from ..operators.claims import tidy_answer
 
-    return table(spark, d, "external_candidates").select("external_candidate_id", tidy_answer(F.col("final_answer"), ["亲", "亲亲", "您好", "在的亲", "感谢咨询", "感谢理解"]).alias("answer"))
+    return table(spark, d, "external_candidates").select("external_candidate_id", tidy_answer(F.col("final_answer"), PLEASANTRIES).alias("answer"))

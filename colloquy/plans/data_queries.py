@@ -103,3 +103,35 @@ ORACLE = {
     + ") where item_value <> ''",
     "p6_variants": _LATEST + " select product_id, cast(i as integer) ordinal, variants[i].variant_id variant_id, variants[i].color_name color_name, variants[i].variant_label variant_label, variants[i].image_asset_ref image_asset_ref from " + _UNNEST.format("variants"),
 }
+
+# The leaves of the catalogue's schema, in its order.
+LEAVES = """
+product_id revision ingested_at data_classification
+identity.name identity.short_description identity.category identity.synthetic_sku identity.target_gender identity.target_audience identity.seasons.[] identity.scenarios.[]
+pricing.currency pricing.display_price pricing.classification
+construction.upper_material construction.lining_material construction.sole_material construction.toe_shape construction.upper_height construction.closure_type
+construction.manufacturing_process construction.heel_type construction.heel_height_cm construction.platform_height_cm construction.thickness construction.single_shoe_weight_g
+style.style_name style.pattern style.fashion_elements.[] functions.{}.level functions.{}.description
+sizing.fit sizing.fit_note sizing.size_chart.[].foot_length_cm sizing.size_chart.[].recommended_size sale.sale_type sale.preorder_note
+variants.[].variant_id variants.[].color_name variants.[].variant_label variants.[].available_sizes.[] variants.[].image_asset_ref
+media.primary_image.asset_ref media.primary_image.alt media.gallery.[].asset_ref media.gallery.[].alt media.detail_images.[]
+""".split()
+
+
+def _triples_of(leaf: str) -> str:
+    value, source, places, key = "", "latest", [], "null"
+    for step in leaf.split("."):
+        if step == "[]":
+            i = f"i{len(places)}"
+            source += f", unnest(range(1, len({value}) + 1)) u{i}({i})"
+            value, places = f"{value}[{i}]", [*places, i]
+        elif step == "{}":
+            source += f", unnest(map_entries({value})) m(e)"
+            value, places, key = "m.e.value", [*places, "0"], "m.e.key"
+        else:
+            value = f"{value}.{step}" if value else step
+    text = f"strftime({value}, '%Y-%m-%d %H:%M:%S.%f')" if leaf == "ingested_at" else f"cast({value} as varchar)"
+    return f"select product_id, '{leaf}' as path, concat_ws(',', {', '.join(f'cast({p} as varchar)' for p in places) or chr(39) * 2}) as ordinals, cast({key} as varchar) as map_key, {text} as value from {source}"
+
+
+ORACLE["p6_triples"] = _LATEST + " " + " union all ".join(map(_triples_of, LEAVES))
