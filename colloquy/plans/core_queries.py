@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import roles, text
-from ..operators import catalog, dedup, masking, nested, retrieval, review, rules, sampling, stats, turns
+from ..operators import catalog, dedup, masking, masking_passes, nested, retrieval, review, rules, sampling, stats, turns
 from ..runtime import table
 from ..sources import chat, corpus
 from ..streaming import sessions
@@ -223,6 +223,19 @@ def pii_counts(spark, d):
     return masking.mask_counts(table(spark, d, "messages"), "message_content")
 
 
+@query()
+def second_pass(spark, d):
+    return masking_passes.second_pass(masking.mask(table(spark, d, "messages"), "message_content").select("message_id", F.col("masked").alias("text")), "text").select("message_id", "masked", F.array_join("pii_types", ";").alias("types"))
+
+
+@query()
+def sanitized_candidates(spark, d):
+    """Questions of the candidates through all passes, with what is left."""
+    first = [(name, lambda t, pattern=pattern, to=to: F.regexp_replace(t, pattern, to)) for name, pattern, to in masking.CHAIN]
+    c = masking_passes.sanitize(table(spark, d, "external_candidates").select("external_candidate_id", "final_question"), "final_question", first=first)
+    return masking_passes.residual_types(c, "masked").select("external_candidate_id", "masked", F.array_join("pii_types", ";").alias("types"), F.array_join("residual", ";").alias("residual"))
+
+
 @query("select message_id, replace(replace(message_content, '客服小禾', '[PRIVATE]'), '客服', '[PRIVATE]') as masked from messages")
 def private_markers(spark, d):
     return table(spark, d, "messages").select("message_id", masking.replace_markers(F.col("message_content"), ["客服", "客服小禾", "x"]).alias("masked"))
