@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from ..functions.roles import role
 from ..operators import timestamps
-from ..operators.nested import strip
 from ..runtime import materialize
 
+#: Anything but white space.
+SOLID = r"[^\s\p{Z}\x1c-\x1f\x85]"
 #: Anything but white space, zero-width and control characters.
 VISIBLE = r"[^\s\p{Z}\p{Cc}\p{Cf}ᅟᅠ⠀ㅤ]"
 
@@ -82,8 +83,8 @@ def sequence(messages: DataFrame, stores: DataFrame) -> DataFrame:
     messages of customers and services with a visible character.
     """
     sources = timestamps.store_sources(stores)
-    named = messages.where(F.coalesce(strip("session_id"), F.lit("")) != "")
-    code = F.when(role(F.col("sender_type")) == "customer", 0).when(role(F.col("sender_type")) == "service", 1).when(role(F.col("sender_type")) == "system", 2)
+    named = messages.where(F.col("session_id").rlike(SOLID)).select("session_id", "input_order", "message_id", "sender", role(F.col("sender_type")).alias("role"), "message_content", "message_time", "external_store_id")
+    code = F.when(F.col("role") == "customer", 0).when(F.col("role") == "service", 1).when(F.col("role") == "system", 2)
     m = named.select(
         "session_id",
         "input_order",
