@@ -90,3 +90,37 @@ def first_success(df: DataFrame, request: str, attempt: str, ok: Column, most: i
     """(request, attempts, status): done at the first success within ``most`` attempts."""
     d = df.where(F.col(attempt) <= most).groupBy(request).agg(F.count("*").alias("attempts"), F.min(F.when(ok, F.col(attempt))).alias("_done"))
     return d.select(request, "attempts", F.when(F.col("_done").isNotNull(), "done").when(F.col("attempts") >= most, "failed").otherwise("open").alias("status"))
+
+
+def recovery(units: DataFrame, journals: DataFrame, successes: DataFrame, unit: str, state: str, attempt: str, most: int = 3) -> DataFrame:
+    """(unit, journals, decision): what to do with each unit of a plan.
+
+    journals: one row an attempt with its last state; successes: units with proof of success.  A unit
+    is 'confirmed' or to be 'reconcile_committed' with proof and journal, 'authoritative_success' with
+    proof only, 'begin' with neither; without proof its last attempt decides: 'prepared' is
+    'continue_before_provider', 'retryable_failed' is 'retry' below ``most`` attempts, all else
+    'fail_closed'.  Journals of units outside the plan are left out; repeated proofs are one.
+    """
+    last = journals.where(F.col(unit).isNotNull()).groupBy(unit).agg(F.count("*").alias("journals"), F.max(attempt).alias("_attempt"), F.max_by(state, attempt).alias("_state"))
+    proof = successes.where(F.col(unit).isNotNull()).select(unit).distinct().withColumn("_proof", F.lit(True))
+    d = units.select(unit).distinct().join(last, unit, "left").join(proof, unit, "left")
+    decision = (
+        F.when(F.col("_proof") & F.col("_state").isNull(), "authoritative_success")
+        .when(F.col("_proof") & (F.col("_state") == "committed"), "confirmed")
+        .when(F.col("_proof"), "reconcile_committed")
+        .when(F.col("_state").isNull(), "begin")
+        .when(F.col("_state") == "prepared", "continue_before_provider")
+        .when((F.col("_state") == "retryable_failed") & (F.col("_attempt") < most), "retry")
+        .otherwise("fail_closed")
+    )
+    return d.select(unit, F.coalesce("journals", F.lit(0)).alias("journals"), decision.alias("decision"))
+
+
+def next_attempts(decisions: DataFrame, unit: str) -> DataFrame:
+    """(unit, attempt, state): the journal rows to write for units to begin or to try again."""
+    return decisions.where(F.col("decision").isin("begin", "retry")).select(unit, (F.col("journals") + 1).alias("attempt"), F.lit("prepared").alias("state"))
+
+
+def decision_margin(sessions: Column, threshold: Column, first: Column, last: Column, most_first: float = 0.2, least_last: float = 0.8) -> Column:
+    """How far a sender is from losing its inferred role: the least of its three margins."""
+    return F.least((sessions - threshold) / threshold, last - F.lit(least_last), F.lit(most_first) - first)

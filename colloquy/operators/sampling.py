@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import order_hash
@@ -50,3 +52,34 @@ def diverse(rows: list[dict], n: int, features: list[str], key: str, seed: str)
         for f in features:
             seen[f].add(best[f])
     return out
+
+
+@dataclass(frozen=True)
+class Stage:
+    """A stage of a sample: its name (also its seed), the rows it may take, and how many."""
+
+    name: str
+    where: Column
+    n: int
+    exact: bool = True
+
+
+def staged(df: DataFrame, key: str, session: str, stages: list[Stage]) -> DataFrame:
+    """(stage, place, key, session): stages one after the other, each by hash, no row and no session twice.
+
+    Of each session only the row of least hash stands for a stage, so that a session of any size sends
+    one row a task.  A stage that must be exact and has too few rows is an error.  The rows taken are
+    few by definition, so they are brought to the driver and kept out of later stages by value.
+    """
+    taken: list[tuple] = []
+    for s in stages:
+        d = df.where(s.where & F.col(key).isNotNull() & F.col(session).isNotNull())
+        if taken:
+            d = d.where(~F.col(key).isin([t[2] for t in taken]) & ~F.col(session).isin([t[3] for t in taken]))
+        best = d.select(session, F.struct(order_hash(s.name, F.col(key)).alias("h"), F.col(key).alias("k")).alias("_m")).groupBy(session).agg(F.min("_m").alias("_m"))
+        rows = best.orderBy("_m").limit(s.n).collect()  # the size of the sample
+        if s.exact and len(rows) < s.n:
+            raise ValueError(f"stage {s.name} has {len(rows)} rows of {s.n}")
+        taken += [(s.name, i, r["_m"]["k"], r[session]) for i, r in enumerate(rows, 1)]
+    kind = lambda c: df.schema[c].dataType.simpleString()
+    return df.sparkSession.createDataFrame(taken, f"stage string, place int, {key} {kind(key)}, {session} {kind(session)}")

@@ -261,3 +261,42 @@ def bootstrap_interval(df: DataFrame, by: list[str], difference: str, order: lis
 def with_total(df: DataFrame, key: str, *aggregates: Column) -> DataFrame:
     """Aggregates for each key and, with null key and ``is_total``, for all rows."""
     return df.rollup(key).agg(*aggregates, F.grouping(key).cast("boolean").alias("is_total"))
+
+
+def paired_outcomes(df: DataFrame, unit: str, arm: str, arms: tuple, outcomes: dict[str, Column]) -> DataFrame:
+    """(outcome, both, first_only, second_only, neither, p_value, adjusted): units of two arms
+    compared on boolean outcomes, with the p values adjusted over the outcomes.
+
+    Units without a row in both arms, and nulls, take no part; of several rows of a unit in an arm an
+    outcome holds if it does in any.  The pivot is a partial aggregate.
+    """
+    cells = [F.struct(F.lit(name).alias("outcome"), c.alias("value")) for name, c in outcomes.items()]
+    d = df.where(F.col(arm).isin(*arms)).select(unit, arm, F.inline(F.array(*cells)))
+    side = lambda a: F.bool_or(F.when(F.col(arm) == F.lit(a), F.col("value")))
+    wide = d.groupBy(unit, "outcome").agg(side(arms[0]).alias("_a"), side(arms[1]).alias("_b")).where("_a is not null and _b is not null")
+    m = mcnemar(wide, ["outcome"], F.col("_a"), F.col("_b")).withColumn("_all", F.lit(1))
+    return holm(m, "_all", "outcome", "p_value").select("outcome", "both", "first_only", "second_only", "neither", "p_value", "adjusted")
+
+
+def paired_scores(df: DataFrame, unit: str, arm: str, arms: tuple, dimensions: list[str]) -> DataFrame:
+    """(dimension, n, mean_first, mean_second, mean_difference, w_plus, w_minus, p_value, adjusted):
+    scores of two arms by dimension, signed-rank tests adjusted over the dimensions.
+
+    Of several scores of a unit in an arm the mean counts; units without both take no part.
+    """
+    cells = [F.struct(F.lit(x).alias("dimension"), F.col(x).cast("double").alias("value")) for x in dimensions]
+    d = df.where(F.col(arm).isin(*arms)).select(unit, arm, F.inline(F.array(*cells)))
+    side = lambda a: F.avg(F.when(F.col(arm) == F.lit(a), F.col("value")))
+    wide = d.groupBy(unit, "dimension").agg(side(arms[0]).alias("_a"), side(arms[1]).alias("_b")).where("_a is not null and _b is not null")
+    wide = wide.withColumn("_d", F.col("_b") - F.col("_a"))
+    means = wide.groupBy("dimension").agg(F.count("*").alias("n"), F.avg("_a").alias("mean_first"), F.avg("_b").alias("mean_second"), F.avg("_d").alias("mean_difference"))
+    tests = wilcoxon(wide, ["dimension"], "_d").drop("rank_biserial").withColumn("_all", F.lit(1))
+    tests = holm(tests, "_all", "dimension", "p_value").drop("_all")
+    return means.join(tests, "dimension")
+
+
+def reliability(first: DataFrame, second: DataFrame, unit: str, dimensions: list[str]) -> DataFrame:
+    """(dimension, n, observed, expected, kappa) of two raters over the units both have rated."""
+    cells = lambda s: F.inline(F.array(*[F.struct(F.lit(x).alias("dimension"), F.col(x).cast("string").alias(s)) for x in dimensions]))
+    both = first.select(unit, cells("_a")).join(second.select(unit, cells("_b")), [unit, "dimension"])
+    return kappa(both, ["dimension"], "_a", "_b")
