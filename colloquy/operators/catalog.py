@@ -28,13 +28,42 @@ def public_view(products: DataFrame) -> DataFrame:
     return products.select("product_id", F.col("identity.name").alias("name"), F.col("identity.category").alias("category"), F.col("pricing.display_price").alias("display_price"), F.coalesce(F.array_join(colours, "|"), F.lit("")).alias("colours"), F.coalesce(F.array_join(sizes, "|"), F.lit("")).alias("sizes"))
 
 
-def key_function(products: DataFrame, scores: dict[str, int]) -> DataFrame:
-    """(product_id, key_function): the function of the best level; ties go to the first by name."""
+def key_function(products: DataFrame, scores: dict[str, int], order: list[str] = ()) -> DataFrame:
+    """(product_id, key_function): the function of the best level; ties go to the first of ``order``,
+    then to the first by name.  A product without functions has null."""
+    place = F.create_map(*[F.lit(x) for i, name in enumerate(order) for x in (name, i)]) if order else None
+    at = lambda k: F.coalesce(F.try_element_at(place, k), F.lit(len(order))) if order else F.lit(0)
     score = F.create_map(*[F.lit(x) for kv in scores.items() for x in kv])
-    entries = F.sort_array(F.transform(F.map_entries("functions"), lambda e: F.struct((-F.coalesce(F.try_element_at(score, F.lower(F.trim(e["value"]["level"]))), F.lit(0))).alias("s"), e["key"].alias("k"))))
+    entries = F.sort_array(F.transform(F.map_entries("functions"), lambda e: F.struct((-F.coalesce(F.try_element_at(score, F.lower(F.trim(e["value"]["level"]))), F.lit(0))).alias("s"), at(e["key"]).alias("o"), e["key"].alias("k"))))
     return products.select("product_id", F.when(F.size(entries) > 0, entries[0]["k"]).alias("key_function"))
 
 
+def payload_errors(products: DataFrame, levels: list[str]) -> DataFrame:
+    """(product_id, problem): what a product's record lacks or has wrong, one row a kind.
+
+    Everything is an expression over the record; nothing is exploded before the last step.  Null and
+    blank texts are missing; null elements of arrays are left out.
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    v = F.filter("variants", lambda x: x.isNotNull())
+    ids = F.filter(F.transform(v, lambda x: F.trim(x["variant_id"])), lambda x: x.isNotNull() & (x != ""))
+    gallery = F.filter("media.gallery", lambda x: x.isNotNull())
+    known = lambda e: F.lower(F.trim(e["value"]["level"])).isin(*levels)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    problems = [
+        ("missing_name", blank(F.col("identity.name"))),
+        ("missing_category", blank(F.col("identity.category"))),
+        ("price_not_positive", ~yes(F.col("pricing.display_price") > 0)),
+        ("no_variants", ~yes(F.size(v) > 0)),
+        ("missing_variant_id", yes(F.size(ids) < F.size(v))),
+        ("duplicate_variant_id", yes(F.size(F.array_distinct(ids)) < F.size(ids))),
+        ("variant_without_sizes", yes(F.exists(v, lambda x: ~yes(F.size(F.array_compact(x["available_sizes"])) > 0)))),
+        ("unsafe_reference", yes(F.exists(gallery, lambda x: x["asset_ref"].isNotNull() & ~safe_reference(x["asset_ref"])))),
+        ("unknown_level", yes(F.exists(F.map_entries("functions"), lambda e: ~yes(known(e))))),
+    ]
+    return products.select("product_id", F.explode(F.array_compact(F.array(*[F.when(bad, name) for name, bad in problems]))).alias("problem"))
+
+
 def safe_reference(ref: Column) -> Column:
     """Is a media reference a relative path without steps upwards?"""
     return F.coalesce(ref.rlike(r"^[A-Za-z0-9_\-]+(?:/[A-Za-z0-9_\-]+)*\.(?:png|jpe?g|webp|svg)$"), F.lit(False))

@@ -11,7 +11,7 @@ import hmac
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The chain in its order.  Guards around digit runs are part of the greedy match.
@@ -70,3 +70,12 @@ def blind_id(df: DataFrame, parts: list[str], key: bytes, prefix: str, out: str)
         return s.map(lambda x: prefix + hmac.new(key, x.encode(), hashlib.sha256).hexdigest()[:24])
 
     return df.withColumn(out, digest(F.concat_ws("\0", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts])))
+
+
+def blinded(df: DataFrame, section: str, key: str, secret: bytes, prefix: str) -> tuple[DataFrame, DataFrame]:
+    """(sheet, mapping) for reviewers: the sheet has blind ids instead of keys and a place within its
+    section by the order of the ids, so that nothing of the source's order is left; the mapping has
+    both ids.  Rows of equal section and key are one item; null keys are left out."""
+    d = blind_id(df.where(F.col(key).isNotNull()), [section, key], secret, prefix, "blind_id").dropDuplicates([section, "blind_id"])
+    place = F.row_number().over(Window.partitionBy(section).orderBy("blind_id"))
+    return d.withColumn("place", place).drop(key), d.select(section, key, "blind_id")

@@ -124,3 +124,71 @@ def next_attempts(decisions: DataFrame, unit: str) -> DataFrame:
 def decision_margin(sessions: Column, threshold: Column, first: Column, last: Column, most_first: float = 0.2, least_last: float = 0.8) -> Column:
     """How far a sender is from losing its inferred role: the least of its three margins."""
     return F.least((sessions - threshold) / threshold, last - F.lit(least_last), F.lit(most_first) - first)
+
+
+def unit_category(units: DataFrame, journals: DataFrame, commits: DataFrame, unit: str, state: str, attempt: str, before: str | None = None, most: int = 3) -> DataFrame:
+    """(unit, category): where each unit of a plan stands.
+
+    'successful' with a commit; else by its last attempt: none is 'initial', 'prepared' and
+    'provider_returned' are 'continuable', 'retryable_failed' is 'retryable' below ``most`` attempts,
+    all else 'permanent'.  ``before`` names the unit that must have succeeded first: until then an
+    initial or continuable unit is 'waiting'.  Units are distinct; null units are left out.
+    """
+    done = commits.where(F.col(unit).isNotNull()).select(unit).distinct().withColumn("_done", F.lit(True))
+    last = journals.where(F.col(unit).isNotNull()).groupBy(unit).agg(F.max(attempt).alias("_attempt"), F.max_by(state, attempt).alias("_state"))
+    d = units.where(F.col(unit).isNotNull()).join(done, unit, "left").join(last, unit, "left")
+    category = (
+        F.when(F.col("_done"), "successful")
+        .when(F.col("_state").isNull(), "initial")
+        .when(F.col("_state").isin("prepared", "provider_returned"), "continuable")
+        .when((F.col("_state") == "retryable_failed") & (F.col("_attempt") < most), "retryable")
+        .otherwise("permanent")
+    )
+    if before is None:
+        return d.select(unit, category.alias("category"))
+    first = done.select(F.col(unit).alias("_before"), F.lit(True).alias("_ready"))
+    d = d.withColumn("category", category).join(first, d[before] == F.col("_before"), "left")
+    wait = F.col(before).isNotNull() & F.col("_ready").isNull() & F.col("category").isin("initial", "continuable")
+    return d.select(unit, F.when(wait, "waiting").otherwise(F.col("category")).alias("category"))
+
+
+def progress(categories: DataFrame, *by: str) -> DataFrame:
+    """(by, category, units) with subtotals: a null key where ``level`` counts fewer columns."""
+    return categories.rollup(*by, "category").agg(F.count("*").alias("units"), F.grouping_id().alias("level"))
+
+
+def prefix_gaps(df: DataFrame, key: str, order: list[Column], ok: Column) -> DataFrame:
+    """(key, prefix, after_gap): rows before the first that isn't ok, and ok rows after it, which are
+    an error where a plan must be worked off in order."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    good = F.coalesce(ok, F.lit(False)).cast("int")
+    d = df.withColumn("_ok", good).withColumn("_run", F.min("_ok").over(w))
+    return d.groupBy(key).agg(F.sum("_run").alias("prefix"), F.sum(F.col("_ok") - F.col("_run")).alias("after_gap"))
+
+
+def evaluate(results: DataFrame, specs: DataFrame, key: str, answer: str, kind: str) -> DataFrame:
+    """Results checked against the specification of their key: results' columns, failed ARRAY, score.
+
+    specs: key, kinds ARRAY (allowed, null for any), any_of ARRAY (one must occur), none_of ARRAY (none
+    may).  failed holds 'kind', 'missing', 'forbidden' in this order; score is 2 without failure, 1 if
+    only something is missing, else 0.  Results without a specification aren't returned; a null answer
+    is empty.
+    """
+    s = specs.select(F.col(key).alias("_key"), F.struct("kinds", "any_of", "none_of").alias("_s"))
+    d = results.join(F.broadcast(s) if specs.isLocal() else s, results[key] == F.col("_key"))
+    said = F.coalesce(F.col(answer), F.lit(""))
+    holds = lambda words: F.exists(words, lambda w: said.contains(w))
+    checks = [
+        ("kind", F.col("_s.kinds").isNotNull() & ~F.coalesce(F.array_contains("_s.kinds", F.col(kind)), F.lit(False))),
+        ("missing", F.coalesce(F.size("_s.any_of") > 0, F.lit(False)) & ~F.coalesce(holds(F.col("_s.any_of")), F.lit(False))),
+        ("forbidden", F.coalesce(holds(F.col("_s.none_of")), F.lit(False))),
+    ]
+    failed = F.array_compact(F.array(*[F.when(bad, name) for name, bad in checks]))
+    d = d.withColumn("failed", failed)
+    score = F.when(F.size("failed") == 0, 2).when(F.array_join("failed", "|") == "missing", 1).otherwise(0)
+    return d.withColumn("score", score).drop("_key", "_s")
+
+
+def case_verdicts(turns: DataFrame, case: str, passed: Column) -> DataFrame:
+    """(case, turns, passed): a case passes if all its turns do; an unknown turn doesn't."""
+    return turns.where(F.col(case).isNotNull()).groupBy(case).agg(F.count("*").alias("turns"), F.every(F.coalesce(passed, F.lit(False))).alias("passed"))

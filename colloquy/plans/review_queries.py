@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import catalog, gates, review, rules, sampling, stats
+from ..operators import catalog, gates, nested, review, rules, sampling, stats
 from ..runtime import table
+from .core_queries import _INNER, _OUTER, BLIND_KEY, LEVELS
 
 BUSINESS = rules.BUSINESS_WORDS
 _WS = r"[\t-\r\x{85}\pZ,，。.!！?？~～、；;：:…·\-—_（）()【】\[\]{}]+"
@@ -175,7 +176,106 @@ _PART_CHARTS = (
     " select distinct p_brand as product_id, 'length_not_increasing' as problem from l where i > 1 and not a > pa union all select distinct p_brand, 'size_not_increasing' from l where i > 1 and not b > pb"
 )
 
-QUERIES = {f.__name__: f for f in (question_gate, message_gate, answer_gate, pair_gate, review_sample, decision_margins, recovery_decisions, next_journals, paired_outcomes, paired_scores, rater_reliability, part_chart_errors)}
+def unit_categories(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as units, events as attempts, large accounts as commits; each waits for the one before."""
+    units = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("user_id"), F.when(F.col("c_custkey") > 1, F.col("c_custkey").cast("long") - 1).alias("before"))
+    state = F.when(F.col("event_type") == "purchase", "provider_returned").when(F.col("event_type") == "cart", "retryable_failed").when(F.col("event_type") == "view", "prepared").otherwise("uncertain")
+    j = table(spark, d, "events").select("user_id", state.alias("state"), "event_id")
+    done = table(spark, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").cast("long").alias("user_id"))
+    return review.unit_category(units, j, done, "user_id", "state", "event_id", "before", 10**12)
+
+
+_UNITS = (
+    "j as (select user_id, arg_max(case event_type when 'purchase' then 'provider_returned' when 'cart' then 'retryable_failed' when 'view' then 'prepared' else 'uncertain' end, event_id) as state from events where user_id is not null group by user_id),"
+    " c as (select c_custkey as user_id from customer where c_acctbal > 5000), u as (select cast(c_custkey as bigint) as user_id, case when c_custkey > 1 then c_custkey - 1 end as before from customer),"
+    " k as (select u.user_id, before, case when c.user_id is not null then 'successful' when state is null then 'initial' when state in ('prepared', 'provider_returned') then 'continuable' when state = 'retryable_failed' then 'retryable' else 'permanent' end as category from u left join c on c.user_id = u.user_id left join j on j.user_id = u.user_id),"
+    " r as (select user_id, case when before is not null and before not in (select user_id from c) and category in ('initial', 'continuable') then 'waiting' else category end as category from k)"
+)
+
+
+def plan_progress(spark: SparkSession, d: str) -> DataFrame:
+    c = unit_categories(spark, d).withColumn("part", F.col("user_id") % 4)
+    return review.progress(c, "part").select("part", "category", "units", F.col("level").cast("int").alias("level"))
+
+
+def prefix_gaps(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").where("user_id is not null")
+    return review.prefix_gaps(e, "user_id", [F.col("ts"), F.col("event_id")], F.col("event_type") != "error")
+
+
+SPECS = {"物流发货": (["物流发货"], ["快递", "发", "天"], ["退款"]), "尺码问题": (None, ["码"], []), "退货退款": (["退货退款", "换货"], [], ["不退"])}
+
+
+def evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of the candidates against the specification of their category by the question."""
+    c = table(spark, d, "external_candidates").select("external_candidate_id", "external_session_id", "final_answer", rules.classify(F.col("final_question"), F.lit("")).alias("asked"), rules.classify(F.col("final_question"), F.col("final_answer")).alias("kind"))
+    specs = spark.createDataFrame([(k, *v) for k, v in SPECS.items()], "asked string, kinds array<string>, any_of array<string>, none_of array<string>")
+    return review.evaluate(c, specs, "asked", "final_answer", "kind")
+
+
+def evaluation_scores(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation(spark, d).select("external_candidate_id", F.array_join("failed", "|").alias("failed"), "score")
+
+
+def case_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return review.case_verdicts(evaluation(spark, d), "external_session_id", F.col("score") == 2)
+
+
+def _first(c: str) -> str:
+    return "case " + " ".join("when " + " or ".join(f"contains({c}, '{w}')" for w in words) + f" then '{label}'" for label, words in rules.CATEGORIES) + " end"
+
+
+def _spec(kind: str, which: int) -> str:
+    def test(words) -> str:
+        if which == 0:
+            return "false" if words is None else f"kind not in ({_IN(words)})"
+        hit = " or ".join(f"contains(said, '{w}')" for w in words) or "false"
+        return f"not ({hit})" if which == 1 and words else hit if which == 2 else "false"
+
+    return f"case asked {' '.join(f'when {chr(39)}{k}{chr(39)} then {test(v[which])}' for k, v in SPECS.items())} end"
+
+
+_EVALUATED = (
+    f"q as (select external_candidate_id, external_session_id, coalesce(final_answer, '') as said, coalesce({_first('final_question')}, '其他') as asked, coalesce({_first('final_question')}, {_first('final_answer')}, '其他') as kind from external_candidates),"
+    f" f as (select *, concat_ws('|', case when {_spec('kind', 0)} then 'kind' end, case when {_spec('any_of', 1)} then 'missing' end, case when {_spec('none_of', 2)} then 'forbidden' end) as failed from q where asked in ({_IN(SPECS)})),"
+    " r as (select *, case when failed = '' then 2 when failed = 'missing' then 1 else 0 end as score from f)"
+)
+
+
+def blinded_sheet(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates for reviewers: blind ids, placed by them within their month."""
+    from ..operators import masking
+
+    return masking.blinded(table(spark, d, "external_candidates").select("source_month", "external_candidate_id", "final_question"), "source_month", "external_candidate_id", BLIND_KEY, "b_")[0]
+
+
+_BLINDED = (
+    "with b as (select source_month, final_question, 'b_' || substr(sha256('{outer}'::blob || unhex(sha256('{inner}'::blob || encode(coalesce(cast(source_month as varchar), '') || chr(0) || external_candidate_id)))), 1, 24) as blind_id from external_candidates where external_candidate_id is not null)"
+    " select source_month, final_question, blind_id, cast(row_number() over (partition by source_month order by blind_id) as integer) as place from b"
+).format(outer=_OUTER, inner=_INNER)
+
+
+def catalog_errors(spark: SparkSession, d: str) -> DataFrame:
+    rows = nested.latest(table(spark, d, "products"), "product_id", ["revision", "ingested_at"])
+    return catalog.payload_errors(rows, list(LEVELS))
+
+
+_V, _BLANK = "list_filter(variants, lambda x: x is not null)", lambda c: f"coalesce(trim({c}), '') = ''"
+_IDS = f"list_filter(list_transform({_V}, lambda x: trim(x.variant_id)), lambda x: x is not null and x <> '')"
+_ERRORS = {
+    "missing_name": _BLANK("identity.name"),
+    "missing_category": _BLANK("identity.category"),
+    "price_not_positive": "not coalesce(pricing.display_price > 0, false)",
+    "no_variants": f"not coalesce(len({_V}) > 0, false)",
+    "missing_variant_id": f"coalesce(len({_IDS}) < len({_V}), false)",
+    "duplicate_variant_id": f"coalesce(len(list_distinct({_IDS})) < len({_IDS}), false)",
+    "variant_without_sizes": f"coalesce(len(list_filter({_V}, lambda x: not coalesce(len(list_filter(x.available_sizes, lambda s: s is not null)) > 0, false))) > 0, false)",
+    "unsafe_reference": "coalesce(len(list_filter(media.gallery, lambda x: x is not null and x.asset_ref is not null and not regexp_matches(x.asset_ref, '^[A-Za-z0-9_\\-]+(?:/[A-Za-z0-9_\\-]+)*\\.(?:png|jpe?g|webp|svg)$'))) > 0, false)",
+    "unknown_level": f"coalesce(len(list_filter(map_entries(functions), lambda e: not coalesce(lower(trim(e.value.level)) in ({_IN(LEVELS)}), false))) > 0, false)",
+}
+_CATALOG = "with p as (select * from (select *, row_number() over (partition by product_id order by revision desc nulls last, ingested_at desc nulls last) as rn from products where product_id is not null) where rn = 1) " + " union all ".join(f"select product_id, '{k}' as problem from p where {v}" for k, v in _ERRORS.items())
+
+QUERIES = {f.__name__: f for f in (question_gate, message_gate, answer_gate, pair_gate, review_sample, decision_margins, recovery_decisions, next_journals, paired_outcomes, paired_scores, rater_reliability, part_chart_errors, unit_categories, plan_progress, prefix_gaps, evaluation_scores, case_verdicts, blinded_sheet, catalog_errors)}
 ORACLE = {
     "question_gate": f"select external_candidate_id, {_question_sql('final_question')} as problem from external_candidates",
     "message_gate": f"select message_id, {_question_sql('message_content')} as problem, case when {_BARE('message_content')} in ({_IN(gates.KEYWORDS)}) then {_BARE('message_content')} end as keyword from messages",
@@ -189,4 +289,11 @@ ORACLE = {
     "paired_scores": _SCORES,
     "rater_reliability": _KAPPA,
     "part_chart_errors": _PART_CHARTS,
+    "unit_categories": f"with {_UNITS} select * from r",
+    "plan_progress": f"with {_UNITS} select part, category, count(*) as units, cast(grouping(part, category) as integer) as level from (select user_id % 4 as part, category from r) group by rollup (part, category)",
+    "prefix_gaps": "with e as (select user_id, case when event_type <> 'error' then 1 else 0 end as ok, min(case when event_type <> 'error' then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as run from events where user_id is not null) select user_id, cast(sum(run) as bigint) as prefix, cast(sum(ok - run) as bigint) as after_gap from e group by user_id",
+    "evaluation_scores": f"with {_EVALUATED} select external_candidate_id, failed, score from r",
+    "case_verdicts": f"with {_EVALUATED} select external_session_id, count(*) as turns, bool_and(score = 2) as passed from r where external_session_id is not null group by external_session_id",
+    "blinded_sheet": _BLINDED,
+    "catalog_errors": _CATALOG,
 }

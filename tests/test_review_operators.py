@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.operators import gates, review, sampling, stats
+from colloquy.operators import catalog, gates, masking, review, sampling, stats
 
 
 def test_gates(spark):
@@ -54,3 +54,50 @@ def test_paired(spark):
     assert stats.paired_outcomes(df.limit(0), "u", "arm", ("x", "y"), {"ok": F.col("ok")}).count() == 0
     k = stats.reliability(df.where("arm = 'x'"), df.where("arm = 'x'"), "u", ["ok", "score"])
     assert {x.dimension: (x.n, x.observed) for x in k.collect()} == {"ok": (10, 1.0), "score": (10, 1.0)}
+
+
+def test_unit_categories(spark):
+    units = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "c"), ("e", None), ("f", None), (None, "a")], "u string, before string")
+    j = spark.createDataFrame([("b", "prepared", 1), ("d", "prepared", 1), ("e", "retryable_failed", 3), ("f", "retryable_failed", 1)], "u string, s string, n int")
+    done = spark.createDataFrame([("a",), ("a",), (None,)], "u string")
+    got = review.unit_category(units, j, done, "u", "s", "n", "before")
+    assert {tuple(r) for r in got.collect()} == {("a", "successful"), ("b", "continuable"), ("c", "waiting"), ("d", "waiting"), ("e", "permanent"), ("f", "retryable")}
+    p = {(r.category, r.level): r.units for r in review.progress(got).collect()}
+    assert p[None, 1] == 6 and p["waiting", 0] == 2
+
+
+def test_evaluation(spark):
+    specs = spark.createDataFrame([("k", ["x"], ["yes"], ["no"]), ("any", None, None, None)], "k string, kinds array<string>, any_of array<string>, none_of array<string>")
+    rows = [("k", "x", "yes"), ("k", "x", "hm"), ("k", "y", "yes no"), ("k", None, None), ("any", "z", None), ("other", "x", "yes"), (None, "x", "yes")]
+    got = review.evaluate(spark.createDataFrame(rows, "k string, kind string, said string"), specs, "k", "said", "kind")
+    assert sorted((r.k, r.said or "", "|".join(r.failed), r.score) for r in got.collect()) == [("any", "", "", 2), ("k", "", "kind|missing", 0), ("k", "hm", "missing", 1), ("k", "yes", "", 2), ("k", "yes no", "kind|forbidden", 0)]
+    cases = review.case_verdicts(spark.createDataFrame([("a", True), ("a", None), ("b", True), (None, True)], "c string, ok boolean"), "c", F.col("ok"))
+    assert {tuple(r) for r in cases.collect()} == {("a", 2, False), ("b", 1, True)}
+
+
+def test_blinded(spark):
+    df = spark.createDataFrame([("s", "a", 1), ("s", "a", 1), ("s", "b", 2), ("t", "a", 3), (None, "a", 4), ("s", None, 5)], "section string, key string, x int")
+    sheet, mapping = masking.blinded(df, "section", "key", b"k", "b_")
+    assert "key" not in sheet.columns and sheet.count() == mapping.count() == 4
+    places = sorted((r.section or "", r.place) for r in sheet.collect())
+    assert places == [("", 1), ("s", 1), ("s", 2), ("t", 1)]
+
+
+def test_payload_errors_and_key_function(spark):
+    schema = "product_id string, identity struct<name:string,category:string>, pricing struct<display_price:double>, variants array<struct<variant_id:string,available_sizes:array<int>>>, media struct<gallery:array<struct<asset_ref:string>>>, functions map<string,struct<level:string>>"
+    rows = [
+        ("ok", ("n", "c"), (1.0,), [("v", [40])], ([("a/b.png",)],), {"grip": ("High",)}),
+        ("null", None, None, None, None, None),
+        ("bad", (" ", None), (0.0,), [("v", []), ("v ", [None]), None, (" ", [1])], ([("../a.png",), None],), {"grip": ("?",), "air": (None,)}),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    got = {}
+    for r in catalog.payload_errors(df, ["high", "low"]).collect():
+        got.setdefault(r.product_id, set()).add(r.problem)
+    assert got == {
+        "null": {"missing_name", "missing_category", "price_not_positive", "no_variants"},
+        "bad": {"missing_name", "missing_category", "price_not_positive", "missing_variant_id", "duplicate_variant_id", "variant_without_sizes", "unsafe_reference", "unknown_level"},
+    }
+    ties = spark.createDataFrame([("p", {"air": ("high",), "grip": ("high",), "warm": ("low",)})], "product_id string, functions map<string,struct<level:string>>")
+    assert catalog.key_function(ties, {"high": 2, "low": 1}).first().key_function == "air"
+    assert catalog.key_function(ties, {"high": 2, "low": 1}, ["warm", "grip"]).first().key_function == "grip"
