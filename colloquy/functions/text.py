@@ -133,3 +133,17 @@ def stable_id(length: int, *parts: Column) -> Column:
 def order_hash(seed: str, *parts: Column) -> Column:
     """Hash that orders rows in a fixed random way."""
     return F.sha2(F.concat_ws("|", F.lit(seed), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+
+
+def folded_key(c: Column) -> Column:
+    """Comparison key of a question: compatibility forms unified, repeated final particles once."""
+    import unicodedata
+
+    import pandas as pd
+
+    def fold(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    fold.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    wide = F.pandas_udf(fold, "string")(F.coalesce(c, F.lit("")))
+    return key(F.regexp_replace(strip(F.regexp_replace(wide, r"(?U)\s+", " ")), r"([啊呀呢吗吧哦噢哈嘛啦])\1+", "$1"))

@@ -206,7 +206,10 @@ def run(df: DataFrame, content: str, stages: list[tuple[str, Change]], masked: s
         d = d.withColumn(f"_t{i + 1}", change(F.col(f"_t{i}")))
     hit = F.array_compact(F.array(*[F.when(F.col(f"_t{i}") != F.col(f"_t{i + 1}"), kind) for i, (kind, _) in enumerate(stages) if kind]))
     keep = [c for c in df.columns if c not in (masked, types)]
-    return d.select(*keep, F.col(f"_t{len(stages)}").alias(masked), F.array_sort(F.array_distinct(hit)).alias(types))
+    # The id is always >= 0; being non-deterministic it keeps filters on the results above the chain,
+    # where they would otherwise be rewritten over all stages.
+    fixed = lambda c: F.when(F.monotonically_increasing_id() >= 0, c)
+    return d.select(*keep, fixed(F.col(f"_t{len(stages)}")).alias(masked), fixed(F.array_sort(F.array_distinct(hit))).alias(types))
 
 
 def second_pass(df: DataFrame, content: str, pack: Pack = SECOND) -> DataFrame:

@@ -97,3 +97,22 @@ def anomaly_fields(df: DataFrame, anomalies: DataFrame, session: str, kind: str)
     """Append anomaly_count and anomaly_types (sorted, '|'-joined) of each session."""
     a = anomalies.groupBy(session).agg(F.count("*").alias("anomaly_count"), F.array_join(F.array_sort(F.collect_set(kind)), "|").alias("anomaly_types"))
     return df.join(a, session, "left").withColumns({"anomaly_count": F.coalesce("anomaly_count", F.lit(0)), "anomaly_types": F.coalesce("anomaly_types", F.lit(""))})
+
+
+def answer_lineage(df: DataFrame, by: list[str], method: str, sender: str, senders: DataFrame) -> DataFrame:
+    """(by, method, inferred_senders, sessions, threshold, first_ratio, last_ratio): how the roles of
+    the messages of a group came about.
+
+    method holds 'legacy_keyword', 'statistical_sender_rule' or anything else for each message; a
+    group of one of the two has it, of both 'mixed', with anything else 'unresolved'.  senders is the
+    result of ``infer_service_senders``; the weakest figures of a group's inferred senders are kept.
+    """
+    figures = senders.select(F.col(sender).alias("_s"), "sessions", "threshold", "first_ratio", "last_ratio")
+    own = F.when(F.col(method) == "statistical_sender_rule", F.col(sender))
+    d = df.withColumn("_own", own).join(figures, F.col("_own") == F.col("_s"), "left")
+    told, ruled = F.bool_or(F.col(method) == "legacy_keyword"), F.bool_or(F.col(method) == "statistical_sender_rule")
+    other = F.bool_or(~F.coalesce(F.col(method).isin("legacy_keyword", "statistical_sender_rule"), F.lit(False)))
+    kind = F.when(other, "unresolved").when(told & ruled, "mixed").when(told, "legacy_keyword").otherwise("statistical_sender_rule")
+    return d.groupBy(*by).agg(
+        kind.alias("method"), F.count_distinct("_s").alias("inferred_senders"), F.min("sessions").alias("sessions"), F.max("threshold").alias("threshold"), F.max("first_ratio").alias("first_ratio"), F.min("last_ratio").alias("last_ratio")
+    )

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import catalog, gates, nested, review, rules, sampling, stats
+from ..functions import text
+from ..operators import catalog, gates, nested, review, rules, sampling, stats, turns
 from ..runtime import table
-from .core_queries import _INNER, _OUTER, BLIND_KEY, LEVELS
+from ..sources import files
+from .core_queries import _INNER, _OUTER, _SENDERS, BLIND_KEY, LEVELS
 
 BUSINESS = rules.BUSINESS_WORDS
 _WS = r"[\t-\r\x{85}\pZ,，。.!！?？~～、；;：:…·\-—_（）()【】\[\]{}]+"
@@ -275,7 +277,60 @@ _ERRORS = {
 }
 _CATALOG = "with p as (select * from (select *, row_number() over (partition by product_id order by revision desc nulls last, ingested_at desc nulls last) as rn from products where product_id is not null) where rn = 1) " + " union all ".join(f"select product_id, '{k}' as problem from p where {v}" for k, v in _ERRORS.items())
 
-QUERIES = {f.__name__: f for f in (question_gate, message_gate, answer_gate, pair_gate, review_sample, decision_margins, recovery_decisions, next_journals, paired_outcomes, paired_scores, rater_reliability, part_chart_errors, unit_categories, plan_progress, prefix_gaps, evaluation_scores, case_verdicts, blinded_sheet, catalog_errors)}
+def _pipeline(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    from ..operators import masking
+    from ..runtime import materialize
+    from . import pipeline
+    from .core_queries import pairs_of
+
+    pairs = materialize(pairs_of(spark, d))
+    first = [(name, lambda t, pattern=pattern, to=to: F.regexp_replace(t, pattern, to)) for name, pattern, to in masking.CHAIN]
+    return pairs, materialize(pipeline.candidates(pairs, F.lit("store"), first))
+
+
+def candidate_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Every question/answer pair of the messages with its outcome."""
+    return _pipeline(spark, d)[1]
+
+
+def candidate_account(spark: SparkSession, d: str) -> DataFrame:
+    from . import pipeline
+
+    return pipeline.account(_pipeline(spark, d)[1])
+
+
+def candidate_invariants(spark: SparkSession, d: str) -> DataFrame:
+    from . import pipeline
+
+    return pipeline.violations(*_pipeline(spark, d))
+
+
+def answer_lineage(spark: SparkSession, d: str) -> DataFrame:
+    """How the roles of each session's messages came about: by the word in the sender's name for
+    stores' service desks, else by the rule over senders, else not at all."""
+    m = table(spark, d, "messages").where(F.col("sender").isNotNull() & (F.trim("session_id") != ""))
+    m = m.withColumn("speaker", F.concat_ws("/", "external_store_id", F.when(F.contains("sender", F.lit("客服")), "service").otherwise("customer")))
+    found = turns.infer_service_senders(m, "session_id", "speaker", [F.col("input_order"), F.col("message_id")], share=0.002, last=0.6, first=0.4)
+    ruled = m.join(found.select("speaker", F.lit(True).alias("_ruled")), "speaker", "left")
+    how = F.when(F.col("sender_type") == "service", "legacy_keyword").when(F.col("_ruled"), "statistical_sender_rule").otherwise("unresolved")
+    out = turns.answer_lineage(ruled.withColumn("how", how), ["session_id"], "how", "speaker", found)
+    return out.select("session_id", "method", "inferred_senders", "sessions", "threshold", F.round("first_ratio", 9).alias("first_ratio"), F.round("last_ratio", 9).alias("last_ratio"))
+
+
+_LINEAGE = (
+    f"with f as ({_SENDERS}), m as (select session_id, sender_type, case when contains(sender, '客服') then concat_ws('/', external_store_id, 'service') else concat_ws('/', external_store_id, 'customer') end as speaker from messages where trim(session_id) <> '' and sender is not null),"
+    " h as (select session_id, speaker, case when sender_type = 'service' then 'legacy_keyword' when f.speaker is not null then 'statistical_sender_rule' else 'unresolved' end as how, f.speaker as s, f.sessions, f.threshold, f.first_ratio, f.last_ratio from m left join f using (speaker)),"
+    " o as (select session_id, how, case when how = 'statistical_sender_rule' then s end as s, case when how = 'statistical_sender_rule' then sessions end as sessions, case when how = 'statistical_sender_rule' then threshold end as threshold, case when how = 'statistical_sender_rule' then first_ratio end as first_ratio, case when how = 'statistical_sender_rule' then last_ratio end as last_ratio from h)"
+    " select session_id, case when bool_or(how = 'unresolved') then 'unresolved' when bool_or(how = 'legacy_keyword') and bool_or(how = 'statistical_sender_rule') then 'mixed' when bool_or(how = 'legacy_keyword') then 'legacy_keyword' else 'statistical_sender_rule' end as method,"
+    " count(distinct s) as inferred_senders, min(sessions) as sessions, max(threshold) as threshold, round(max(first_ratio), 9) as first_ratio, round(min(last_ratio), 9) as last_ratio from o group by session_id"
+)
+
+
+def folded_questions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "external_candidates").select("external_candidate_id", text.folded_key(F.col("final_question")).alias("folded"), files.canonical_digest("question", [F.col("final_question"), F.col("source_month")]).alias("digest"))
+
+
+QUERIES = {f.__name__: f for f in (question_gate, message_gate, answer_gate, pair_gate, review_sample, decision_margins, recovery_decisions, next_journals, paired_outcomes, paired_scores, rater_reliability, part_chart_errors, unit_categories, plan_progress, prefix_gaps, evaluation_scores, case_verdicts, blinded_sheet, catalog_errors, candidate_outcomes, candidate_account, candidate_invariants, answer_lineage, folded_questions)}
 ORACLE = {
     "question_gate": f"select external_candidate_id, {_question_sql('final_question')} as problem from external_candidates",
     "message_gate": f"select message_id, {_question_sql('message_content')} as problem, case when {_BARE('message_content')} in ({_IN(gates.KEYWORDS)}) then {_BARE('message_content')} end as keyword from messages",
@@ -296,4 +351,5 @@ ORACLE = {
     "case_verdicts": f"with {_EVALUATED} select external_session_id, count(*) as turns, bool_and(score = 2) as passed from r where external_session_id is not null group by external_session_id",
     "blinded_sheet": _BLINDED,
     "catalog_errors": _CATALOG,
+    "answer_lineage": _LINEAGE,
 }

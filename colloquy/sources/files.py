@@ -130,3 +130,32 @@ def cached(spark: SparkSession, folder: str, key: dict, build) -> DataFrame:
     build().write.mode("overwrite").parquet(f"{folder}/table")
     spark.createDataFrame([(want,)], "value string").coalesce(1).write.mode("overwrite").text(manifest)
     return spark.read.parquet(f"{folder}/table")
+
+
+def source_problems(files: DataFrame, months: list[int], pattern: str = r"(\d{1,2})月|-(\d{2})\.") -> DataFrame:
+    """(problem, detail) of the exports of a period: 'empty_file', 'no_month', 'missing_month',
+    'repeated_month'.  files: (path, length).  The month is that in the file's name; names aren't
+    given away, only digests of them."""
+    name = F.element_at(F.split("path", "/"), -1)
+    month = F.coalesce(*[F.nullif(F.regexp_extract(name, pattern, i), F.lit("")) for i in (1, 2)]).cast("int")
+    d = files.select(F.substring(F.sha2(name, 256), 1, 12).alias("detail"), month.alias("month"), "length")
+    told = F.array_compact(F.array(F.when(F.col("length") == 0, "empty_file"), F.when(F.col("month").isNull(), "no_month")))
+    own = d.select(F.explode(told).alias("problem"), "detail")
+    wanted = files.sparkSession.createDataFrame([(m,) for m in months], "month int")
+    n = wanted.join(d.groupBy("month").agg(F.count("*").alias("n")), "month", "left").select(F.col("month").cast("string").alias("detail"), F.coalesce("n", F.lit(0)).alias("n"))
+    return own.unionByName(n.where("n <> 1").select(F.when(F.col("n") == 0, "missing_month").otherwise("repeated_month").alias("problem"), "detail"))
+
+
+def canonical_digest(domain: str, parts: list):
+    """Column: SHA-256 over canonical JSON (sorted keys, no blanks, no escapes) of a domain and columns."""
+
+    def work(rows: pd.DataFrame) -> pd.Series:
+        one = lambda r: hashlib.sha256(json.dumps({"domain": domain, "parts": [None if v != v else v for v in r]}, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+        return pd.Series([one(r) for r in rows.astype(object).itertuples(index=False, name=None)], dtype=object)
+
+    def frames(batch: pd.DataFrame) -> pd.Series:
+        return work(batch)
+
+    typed = F.struct(*[p.cast("string").alias(f"p{i}") for i, p in enumerate(parts)])
+    frames.__annotations__ = {"batch": pd.DataFrame, "return": pd.Series}
+    return F.pandas_udf(frames, "string")(typed)
