@@ -1,7 +1,8 @@
 """From chat messages to evaluation candidates, with an account of every pair and checked invariants.
 
 Stages: question/answer pairs, masking, the pair gate, duplicates.  A pair is accepted or has exactly
-one reason; nothing is dropped on the way.  Everything is one plan until the result is written.
+one reason; nothing is dropped on the way.  Masked texts are tables in the
+shared folder, as they are read more than once.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import dedup, gates, masking_passes, rules
+from ..runtime import materialize
 
 Change = tuple[str, masking_passes.Change]
 
@@ -27,8 +29,10 @@ def candidates(pairs: DataFrame, store: Column, first: Sequence[Change] = (), st
     """
     d = pairs.select("session_id", "qa_ordinal", "merged_question", "merged_answer", store.alias("_store"))
     clean = lambda df, c, out: masking_passes.run(df, c, _stages(first, stores, senders), out, f"{out}_types")
-    d = clean(clean(d, "merged_question", "question"), "merged_answer", "answer")
+    # Tables between the long chains: each is planned alone, and read more than once below.
+    d = materialize(clean(materialize(clean(d, "merged_question", "question")), "merged_answer", "answer"))
     left = masking_passes.residual_types(masking_passes.residual_types(d, "question", list(stores)).withColumnRenamed("residual", "_q"), "answer", list(stores)).withColumnRenamed("residual", "_a")
+    left = materialize(left)
     category = rules.classify(F.col("question"), F.col("answer"))
     problem = gates.pair_problem(F.col("question"), F.col("answer"), category, (F.size("_q") > 0) | (F.size("_a") > 0), list(business))
     left = left.withColumn("category", category).withColumn("_problem", F.when(F.col("merged_answer").isNull(), "missing_service_response").otherwise(problem))
