@@ -43,6 +43,8 @@ class Mixture:
         shares = sum(r["share"] for r in there.values())
         largest = min((r["most"] * total[s] * shares / r["share"] for s, r in there.items()), default=0.0)
         self.size = largest if size is None else float(size)
+        #: The sources that set the size: at a larger one they would miss their share.
+        self.scarce = {s for s, r in there.items() if r["most"] * total[s] * shares / r["share"] <= self.size * (1 + 1e-9)}
         self.plan = []
         for s, r in rows.items():
             want = min(self.size * r["share"] / shares, r["most"] * total[s]) if s in there else 0.0
@@ -94,8 +96,10 @@ class Mixture:
         return {s: sorted(x) for s, x in by.items()}
 
     def report(self) -> DataFrame:
-        """(source, target_share, max_repeats, documents, tokens, actual_share, most_copies, reached);
-        one row a target; ``reached``: within 1 % of its share of the targets that have documents."""
+        """(source, target_share, max_repeats, documents, tokens, actual_share, most_copies, reached,
+        sets_size); one row a target; ``reached``: within 1 % of its share of the targets that have
+        documents; ``sets_size``: all of its documents are used as often as they may, so that a larger
+        mixture would miss its share."""
         spark = self.tokens.sparkSession
         plan = spark.createDataFrame([(p["source"], p["target_share"], p["max_repeats"], float(p["available"])) for p in self.plan] or [], "source string, target_share double, max_repeats int, available double")
         got = self.documents.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
@@ -104,7 +108,7 @@ class Mixture:
         out = out.crossJoin(F.broadcast(sums))  # one row
         actual = F.when(F.col("all") > 0, F.col("tokens") / F.col("all")).otherwise(0.0)
         near = F.abs(actual - F.col("target_share") / F.col("shares")) <= 0.01 * F.col("target_share")
-        return out.select("source", "target_share", "max_repeats", "documents", "tokens", actual.alias("actual_share"), "most_copies", (near & (F.col("available") > 0)).alias("reached"))
+        return out.select("source", "target_share", "max_repeats", "documents", "tokens", actual.alias("actual_share"), "most_copies", (near & (F.col("available") > 0)).alias("reached"), F.col("source").isin(sorted(self.scarce)).alias("sets_size"))
 
 
 class _Walk:

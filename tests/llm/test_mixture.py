@@ -12,6 +12,7 @@ def test_shares(spark):
     report = {r.source: r for r in mix.report().collect()}
     assert abs(report["a"].actual_share - 0.625) < 0.005 and abs(report["b"].actual_share - 0.375) < 0.005
     assert report["a"].reached and report["b"].reached and not report["c"].reached and report["c"].tokens == 0
+    assert sum(r.sets_size for r in report.values()) == 1 and not report["c"].sets_size
     rows = mix.documents.collect()
     assert {r.source for r in rows} == {"a", "b"}
     assert max(r.copies for r in rows if r.source == "b") <= 3 and max(r.copies for r in rows if r.source == "a") == 1
