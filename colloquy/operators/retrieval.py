@@ -57,9 +57,12 @@ def _block(corpus, rows, k, corpus_id, query_id, vector):
             c, x = c[n > 0], x[n > 0] / n[n > 0, None]
             for at in range(0, len(ids), 512):
                 s = m[at : at + 512] @ x.T
+                # Only what reaches the batch's k-th value, ties included, is sorted.
+                least = -np.partition(-s, k - 1, axis=1)[:, k - 1] if s.shape[1] > k else np.full(len(s), -np.inf)
                 for j, row in enumerate(s):
                     old = best.get(at + j)
-                    ci, si = (c, row) if old is None else (np.concatenate([old[0], c]), np.concatenate([old[1], row]))
+                    new = np.flatnonzero(row >= (least[j] if old is None or len(old[1]) < k else max(least[j], old[1][-1])))
+                    ci, si = (c[new], row[new]) if old is None else (np.concatenate([old[0], c[new]]), np.concatenate([old[1], row[new]]))
                     take = np.lexsort((ci, -si))[:k]
                     best[at + j] = (ci[take], si[take])
         if best:

@@ -83,12 +83,19 @@ def replay(df: DataFrame, session: str, order: list[str], content: str, rules: d
     return d.mapInPandas(work, f"{session} {kind}, {RESULT}")
 
 
-def stream(df: DataFrame, session: str, order: list[str], content: str, rules: dict) -> DataFrame:
-    """The same over a stream: state by session, rows of a micro-batch in order."""
+def stream(df: DataFrame, session: str, order: list[str], content: str, rules: dict, idle_ms: int | None = None) -> DataFrame:
+    """The same over a stream: state by session, rows of a micro-batch in order.
+
+    A session without rows for ``idle_ms`` of processing time is forgotten, so that state stays as
+    small as the sessions that are open; a later row starts it anew.  None keeps all state.
+    """
     kind = df.schema[session].dataType.simpleString()
     state_schema = "topic string, confidence double, turns int, total int, history array<string>"
 
     def work(key, batches, held) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         names = list(State.__dataclass_fields__)
         state = coerce(dict(zip(names, held.get)) if held.exists else None)
         rows = pd.concat(list(batches)).sort_values(order, kind="stable")
@@ -97,9 +104,11 @@ def stream(df: DataFrame, session: str, order: list[str], content: str, rules: d
             state, r = step(state, t, **rules)
             out.append((key[0], r["turn"], r["topic"], r["inherited"], r["confidence"]))
         held.update(tuple(asdict(state).values()))
+        if idle_ms is not None:
+            held.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=[session, "turn", "topic", "inherited", "confidence"])
 
-    return df.groupBy(session).applyInPandasWithState(work, f"{session} {kind}, {RESULT}", state_schema, "append", "NoTimeout")
+    return df.groupBy(session).applyInPandasWithState(work, f"{session} {kind}, {RESULT}", state_schema, "append", "NoTimeout" if idle_ms is None else "ProcessingTimeTimeout")
 
 
 def windowed_counts(df: DataFrame, at: str, kind: str, late: str = "1 hour", size: str = "10 minutes", slide: str | None = None) -> DataFrame:

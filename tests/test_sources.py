@@ -138,6 +138,28 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("replayed").collect())) == want
 
 
+def test_idle_sessions_are_forgotten(spark, tmp_path):
+    """A topic isn't inherited across a pause longer than the idle time."""
+    import time
+
+    src = tmp_path / "in"
+    src.mkdir()
+    put = lambda n, row: (src / f"{n}.json").write_text(json.dumps(dict(zip(["session", "n", "content"], row)), ensure_ascii=False), encoding="utf-8")
+    stream = spark.readStream.schema("session string, n int, content string").option("maxFilesPerTrigger", 1).json(str(src))
+    put(0, ("s", 0, "什么时候发货"))
+    q = sessions.stream(stream, "session", ["n"], "content", RULES, idle_ms=1).writeStream.format("memory").queryName("idle").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="200 milliseconds").start()
+    try:
+        for n, row in ((1, ("t", 1, "尺码")), (2, ("s", 2, "明天呢"))):
+            q.processAllAvailable()
+            time.sleep(1.5)
+            put(n, row)
+        q.processAllAvailable()
+        got = {(r.session, r.topic, r.inherited) for r in spark.table("idle").collect()}
+    finally:
+        q.stop()
+    assert ("s", "ship", False) in got and ("s", "ship", True) not in got and len(got) == 3
+
+
 def test_windows(spark):
     df = spark.sql("select * from values (1, timestamp'2026-01-01 00:01:00', 'a'), (1, timestamp'2026-01-01 00:20:00', 'a'), (1, timestamp'2026-01-01 01:20:00', 'b') as t(u, ts, k)")
     assert sorted((r.k, r.n) for r in sessions.windowed_counts(df, "ts", "k").collect()) == [("a", 1), ("a", 1), ("b", 1)]
