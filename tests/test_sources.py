@@ -145,18 +145,13 @@ def test_idle_sessions_are_forgotten(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
     put = lambda n, row: (src / f"{n}.json").write_text(json.dumps(dict(zip(["session", "n", "content"], row)), ensure_ascii=False), encoding="utf-8")
-    stream = spark.readStream.schema("session string, n int, content string").option("maxFilesPerTrigger", 1).json(str(src))
-    put(0, ("s", 0, "什么时候发货"))
-    q = sessions.stream(stream, "session", ["n"], "content", RULES, idle_ms=1).writeStream.format("memory").queryName("idle").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="200 milliseconds").start()
-    try:
-        for n, row in ((1, ("t", 1, "尺码")), (2, ("s", 2, "明天呢"))):
-            q.processAllAvailable()
-            time.sleep(1.5)
-            put(n, row)
-        q.processAllAvailable()
-        got = {(r.session, r.topic, r.inherited) for r in spark.table("idle").collect()}
-    finally:
-        q.stop()
+    for n, row in enumerate((("s", 0, "什么时候发货"), ("t", 1, "尺码"), ("s", 2, "明天呢"))):
+        put(n, row)
+        time.sleep(1)
+        stream = spark.readStream.schema("session string, n int, content string").json(str(src))
+        q = sessions.stream(stream, "session", ["n"], "content", RULES, idle_ms=1).writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(once=True).start()
+        assert q.awaitTermination(60)
+    got = {(r.session, r.topic, r.inherited) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert ("s", "ship", False) in got and ("s", "ship", True) not in got and len(got) == 3
 
 
