@@ -57,7 +57,7 @@ def codes(text: str) -> np.ndarray:
 
 
 def sketches(texts: list[str], size: int = SIZE) -> np.ndarray:
-    """(records, size) of uint64: the sketches of texts of at least three characters."""
+    """(records, size) of uint64: the sketches of texts of at least three characters; size is a power of 2."""
     parts = [codes(t) for t in texts]
     owner = np.repeat(np.arange(len(parts), dtype=np.int64), [len(p) for p in parts])
     element = np.concatenate(parts) if parts else np.empty(0, np.uint64)
@@ -65,7 +65,7 @@ def sketches(texts: list[str], size: int = SIZE) -> np.ndarray:
     out = np.full(len(parts) * size, empty, dtype=np.uint64)
     for i in range(2 * size):
         h = _mix(element + np.uint64((i + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        at = owner * size + ((h % np.uint64(size)).astype(np.int64) if i < size else i - size)
+        at = owner * size + ((h & np.uint64(size - 1)).astype(np.int64) if i < size else i - size)
         # An earlier round wins, so that only bins still open take part.
         new = np.flatnonzero(out[at] == empty)
         np.minimum.at(out, at[new], (np.uint64(i) << np.uint64(48)) | (_mix(h[new]) >> np.uint64(16)))
