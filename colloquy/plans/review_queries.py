@@ -65,7 +65,7 @@ def review_sample(spark: SparkSession, d: str) -> DataFrame:
         sampling.Stage("special", F.coalesce("role_inference_used", F.lit(False)), 4, exact=False),
         sampling.Stage("anomaly", F.coalesce("session_has_parser_anomaly", F.lit(False)), 12, exact=False),
         sampling.Stage("near", near, 8, exact=False),
-        sampling.Stage("representative", F.lit(True), 96),
+        sampling.Stage("representative", F.lit(True), 96, exact=False),
     ]
     return sampling.staged(c, "external_candidate_id", "external_session_id", stages)
 
