@@ -139,8 +139,9 @@ def test_incremental_large_sessions(spark):
                 kept = max(mine, key=lambda y: (len(y["qkey"]), y["context_message_count"], tuple(y["spec"]), y["n"]))
                 want += [str(Row(session=y["session"], removed_question=y["merged_question"], kept_question=kept["merged_question"], remove_reason=why.get((y["n"], kept["n"]), dedup.CHAIN))) for y in mine if y is not kept]
         assert len(want) > 100
-        got = dedup.incremental(df, "session", ["n"], rules.BUSINESS_WORDS, rules.CATEGORIES, [], same_question=s)
-        assert sorted(map(str, got.collect())) == sorted(want)
+        for few in (dedup.FEW, 10_000):
+            got = dedup.incremental(df, "session", ["n"], rules.BUSINESS_WORDS, rules.CATEGORIES, [], same_question=s, few=few)
+            assert sorted(map(str, got.collect())) == sorted(want)
 
 
 def test_reasons(spark):
